@@ -163,11 +163,178 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     return edges.unionByName(masked.repartition("k", "p").sortWithinPartitions("k", "p", "fp").mapInArrow(_chain, "a long, b long"))
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+#: Wide fingerprints, for groups by similarity: their bits, and how many of them are indexed and compared at first.
+WIDE_BITS, FIRST_BITS = 1024, 128
+SIMILARITY = 0.8
+#: Pairs at the similarity asked for that no segment variant may miss, at most.
+MOST_MISSED = 0.07
+_ODD = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(WIDE_BITS // 64)], np.uint64)
+
+
+def bit_share(similarity: float) -> float:
+    """The share of SimHash bits in which two sets of this Jaccard similarity are expected to differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> bytes:
+    """WIDE_BITS of SimHash over the distinct word shingles of a text (fewer words: the whole; none: all bits 0)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(WIDE_BITS // 8)
+    runs = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else (words,)
+    own = np.fromiter({xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs}, np.uint64)
+    ones = np.zeros(WIDE_BITS, np.int64)
+    for lo in range(0, len(own), 255):  # counts of up to 255 fit a byte
+        x = own[lo : lo + 255, None] * _ODD
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(own)).tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, fp, wide): the wide fingerprint of each row, and a 64-bit hash of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide = [wide_fingerprint(t, shingle) for t in b.column(1).to_pylist()]
+            fp = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in wide), np.uint64, b.num_rows).view(np.int64)
+            yield pa.record_batch([b.column(0), pa.array(fp), pa.array(wide, pa.binary())], names=["id", "fp", "wide"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, wide binary")
+
+
+def _segments(n: int, share: float) -> tuple[int, int]:
+    """Length and number of segments for n fingerprints: few share a variant by chance, and few similar pairs share none."""
+    length = min(max(12, int(np.ceil(np.log2(max(n, 2)))) - 2), 26)
+    meet = (1 - share) ** length + length * share * (1 - share) ** (length - 1)
+    return length, min(int(np.ceil(np.log(MOST_MISSED) / np.log(1 - meet))), WIDE_BITS // length)
+
+
+def _variants(length: int, count: int):
+    """The one-wildcard variants of each segment of a wide fingerprint, as (k, fp, first bits in two longs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                b = batch.slice(lo, 2000)
+                wide = np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                bits = np.unpackbits(wide, axis=1, count=length * count).reshape(b.num_rows, count, length).astype(np.int64)
+                power = 1 << np.arange(length, dtype=np.int64)
+                value = bits @ power
+                masked = value[:, :, None] & ~power
+                place = (np.arange(count)[:, None] * length + np.arange(length)) << length
+                key = (place + masked).reshape(-1)
+                each = count * length
+                first = wide[:, : FIRST_BITS // 8].copy().view(np.int64)
+                yield pa.record_batch([pa.array(key), pa.array(np.repeat(b.column("fp").to_numpy(), each)), pa.array(np.repeat(first[:, 0], each)), pa.array(np.repeat(first[:, 1], each))], names=["k", "fp", "f0", "f1"])
+
+    return run
+
+
+def _apart(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((f ^ g).view(np.uint64)).sum(-1, dtype=np.int64)
+
+
+def _close(radius: int, block: int = 512):
+    """From rows sorted by k: pairs of fp whose first bits differ in at most `radius` places.
+
+    A run of up to SMALL rows gives all its pairs; a longer one a spanning set of its links, block by block, where each
+    block is also held against the first block of its run.
+    """
+
+    def spanning(fp: np.ndarray, f: np.ndarray, lead_fp: np.ndarray, lead: np.ndarray) -> Iterator[pa.RecordBatch]:
+        near = _apart(f[:, None, :], f[None, :, :]) <= radius
+        first = near.argmax(1)  # the first row that is near: itself at the latest
+        own = first != np.arange(len(fp))
+        yield _edges(fp[own], fp[first[own]])
+        # Rows near several earlier ones join those too, by one link each to the nearest before.
+        before = np.tril(near, -1)
+        last = len(fp) - 1 - before[:, ::-1].argmax(1)
+        has = before.any(1)
+        yield _edges(fp[has], fp[last[has]])
+        if len(lead_fp):
+            cross = _apart(f[:, None, :], lead[None, :, :]) <= radius
+            hit = cross.any(1)
+            yield _edges(fp[hit], lead_fp[cross.argmax(1)[hit]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 4), np.int64)
+        lead = np.zeros((0, 4), np.int64)  # the first block of a run that is longer than a block
+
+        def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            k = rows[:, 0]
+            begin = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            size = np.diff(np.append(begin, len(k)))
+            each = np.repeat(size, size)
+            left = each - (np.arange(len(k)) - np.repeat(begin, size))
+            at = np.flatnonzero((left > 1) & (each <= SMALL))
+            for shift in range(1, SMALL):
+                at = at[left[at] > shift]
+                if not len(at):
+                    break
+                near = _apart(rows[at, 2:], rows[at + shift, 2:]) <= radius
+                if near.any():
+                    yield _edges(rows[at[near], 1], rows[at[near] + shift, 1])
+            for b, n in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                first = lead if len(lead) and lead[0, 0] == k[b] else rows[b : b + min(n, block)]
+                for lo in range(b, b + n, block):
+                    part = rows[lo : min(lo + block, b + n)]
+                    other = first if len(first) and not np.shares_memory(first, part) else rows[:0]
+                    yield from spanning(part[:, 1], part[:, 2:], other[:, 1], other[:, 2:])
+
+        for batch in batches:
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], 1)
+            held = np.concatenate((held, rows))
+            last = int(np.searchsorted(held[:, 0], held[-1, 0]))
+            if len(held) - last > 4 * block:  # a long run: its first block stays, the rest goes on
+                yield from done(held)
+                if not (len(lead) and lead[0, 0] == held[-1, 0]):
+                    lead = held[last : last + block].copy()
+                held = held[:0]
+            elif last:
+                yield from done(held[:last])
+                held = held[last:]
+        if len(held):
+            yield from done(held)
+
+    return run
+
+
+def similar_links(marked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) between fingerprints of wide_fingerprints(…) whose sets' Jaccard similarity, by all bits, is at least `similarity`.
+
+    Deletion variants as in links(): segments of the wide fingerprint under their one-wildcard variants. A pair at
+    the similarity asked for has no variant in common with probability MOST_MISSED at most, a more similar one much
+    less. Pairs that meet are compared by FIRST_BITS bits, with room for chance, and then by all of them.
+    """
+    share = bit_share(similarity)
+    rows = keep(marked.groupBy("fp").agg(F.first("wide").alias("wide")))
+    length, count = _segments(rows.count(), share)
+    radius = int(FIRST_BITS * share + 2.5 * np.sqrt(FIRST_BITS * share * (1 - share)))
+    spread = rows.mapInArrow(_variants(length, count), "k long, fp long, f0 long, f1 long")
+    met = spread.repartition("k").sortWithinPartitions("k").mapInArrow(_close(radius), "a long, b long")
+    pairs = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda n: rows.select(F.col("fp").alias(n), F.col("wide").alias(f"wide_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wide_a", "wide_b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint64).reshape(b.num_rows, -1) for n in ("wide_a", "wide_b"))
+            near = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= share * WIDE_BITS
+            yield b.select(["a", "b"]).filter(pa.array(near))
+
+    return both.mapInArrow(verify, "a long, b long")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, bucket: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, fp) of each row, and (fp, root, component_id) of each fingerprint."""
-    marked = keep(fingerprints(docs, id_col, text_col, shingle))
+    marked = keep(fingerprints(docs, id_col, text_col, shingle) if similarity is None else wide_fingerprints(docs, id_col, text_col, shingle))
     owners = keep(marked.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = components(links(owners.select("fp"), radius, bucket)).withColumnRenamed("node", "fp")
+    found = links(owners.select("fp"), radius, bucket) if similarity is None else similar_links(marked, similarity)
+    roots = components(found).withColumnRenamed("node", "fp")
     lows = roots.join(owners, "fp").groupBy("root").agg(F.min("low").alias("group_low"))
     grouped = roots.join(lows, "root").select("fp", "root", "group_low")
     of_fp = owners.join(grouped, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("group_low", "low").alias("component_id"))
@@ -185,13 +352,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(of_fp, "fp", "left").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET, similarity: float | None = None) -> DataFrame:
     """The rows of `docs`, all columns, with one row of each near-duplicate group: the one with the smallest id.
 
+    Groups are those of near_groups, or with `similarity` those of similar_links: by shingle sets instead of bits.
     Where several rows of a group share that id, or none of its ids is set, the smallest row by all columns stays.
     Texts are not shuffled but for the few rows whose id is repeated.
     """
-    marked, of_fp = _groups(docs, id_col, text_col, shingle, radius, bucket)
+    marked, of_fp = _groups(docs, id_col, text_col, shingle, radius, bucket, similarity)
     of_fp = keep(of_fp)
     lead = marked.join(of_fp, "fp", "left").select("id", F.expr("id <=> component_id").alias("lead"))
     per_id = keep(lead.groupBy("id").agg(F.count("*").alias("n"), F.bool_or("lead").alias("lead")).where("lead"))
@@ -202,6 +370,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     row = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("id"), docs[id_col].alias("_key"), docs[text_col].alias("text"))
     shared = row.join(odd, F.col("_key").eqNullSafe(F.col("_odd")), "left_semi")
     key = f"c{docs.columns.index(id_col)}"
-    named = fingerprints(shared, "id", "text", shingle).join(of_fp, "fp").where(F.col(f"id.{key}").eqNullSafe(F.col("component_id")))
+    mark = fingerprints if similarity is None else wide_fingerprints
+    named = mark(shared, "id", "text", shingle).join(of_fp, "fp").where(F.col(f"id.{key}").eqNullSafe(F.col("component_id")))
     first = named.groupBy("root").agg(F.min("id").alias("id"))
     return once.unionByName(first.select(*[F.col(f"id.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
