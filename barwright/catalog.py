@@ -204,10 +204,8 @@ for _rule, _expr in (("and", _agree), ("or", _any)):
 
 
 def adx_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Sheet()
-    strength = ta.adx(s, 14)[0]
-    wide = signals.with_votes(s.apply(all_events(spark, sf_dir)), [instance("sma_cross", fast=10, slow=50)])
-    return wide.select("symbol", "ts", combine.combine([F.col("v0")], mode="long_short", adx=F.col(strength), adx_min=20.0).alias("position"))
+    wide = signals.with_votes(all_events(spark, sf_dir), [instance("sma_cross", fast=10, slow=50)], adx=14)
+    return wide.select("symbol", "ts", combine.combine([F.col("v0")], mode="long_short", adx=F.col("adx"), adx_min=20.0).alias("position"))
 
 
 register("combine_adx_gate", adx_gate, q.adx(q.sma(q.sma(_all(), 10, name="fast"), 50, name="slow")).add(v0=q.sign("fast - slow")).add(position="CASE WHEN adx >= 20 THEN v0 ELSE 0.0 END").select("position"))
