@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,9 @@ GRAM = 5
 #: one: those whose hashed ids are smallest. All other figures are of all rows.
 MOST_POSITIVE = 6_000
 MOST_UNLABELLED = 12_000
-#: A feature is used if its share among positives exceeds that among unlabelled texts by so many standard errors.
-LEAST_Z = 4.0
+#: A feature is used if its share among positives exceeds that among unlabelled texts by so many standard errors, and is
+#: at least so many times as large.
+LEAST_Z, LEAST_RATIO = 4.0, 3.0
 EPOCHS = 25
 BATCH = 300
 RATE = 0.05
@@ -67,7 +69,9 @@ class Features:
         for j in range(GRAM):
             byte = to[np.minimum(at + j, len(to) - 1)].astype(np.uint64) if len(to) else np.zeros(0, np.uint64)
             value = value << np.uint64(8) | np.where(j < short, byte, 0)
-        return (value * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64), total
+        grams = value * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)
+        whole = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer()) >> 64 - BITS for w in distinct), np.uint64, len(distinct))
+        return np.insert(grams, total[1:], whole).astype(np.int64), total + np.arange(len(total))
 
     def scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
         return bias + np.bincount(self.row, weights[self.feature], self.n)
@@ -84,7 +88,7 @@ class Classifier:
     prior: float
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_z: float = LEAST_Z) -> np.ndarray:
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
     """Which features are found in a larger share of positives than of unlabelled texts, beyond chance. Equal texts count once."""
     shares = []
     for docs in (positive, unlabelled):
@@ -92,7 +96,8 @@ def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_z: f
         shares.append((np.bincount(np.concatenate(docs), minlength=1 << BITS), len(docs)))
     (p, n_p), (u, n_u) = shares
     both = (p + u + 1) / (n_p + n_u + 2)
-    return (p / n_p - u / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u)) >= least_z
+    apart = (p / n_p - u / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
+    return (apart >= LEAST_Z) & (p / n_p >= LEAST_RATIO * u / n_u)
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS, seed: int = 1) -> Classifier:
