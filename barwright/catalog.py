@@ -102,16 +102,16 @@ register(
 # indicators
 
 
-def indicator(name: str, make, twin: q.Twin, columns: tuple[str, ...], bars: Query = by_type, **params) -> None:
+def indicator(name: str, make, twin: q.Twin, columns: tuple[str, ...], bars: Query = by_type, digits: int = 6, **params) -> None:
     """make returns the sheet's columns, in the order of the twin's `columns` (None: not shown)."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = Sheet()
         made = make(s, **params)
         made = made if isinstance(made, tuple) else (made,)
-        return rounded(s.apply(bars(spark, sf_dir)), ("symbol", "ts"), {c: m for c, m in zip(columns, made, strict=True) if c})
+        return rounded(s.apply(bars(spark, sf_dir)), ("symbol", "ts"), {c: m for c, m in zip(columns, made, strict=True) if c}, digits)
 
-    register(name, query, twin.select(*[c for c in columns if c]))
+    register(name, query, twin.select(*[c for c in columns if c], digits=digits))
 
 
 _t = q.Twin
@@ -147,7 +147,7 @@ indicator("cmf_20", ta.cmf, q.cmf(_all()), ("cmf",), all_events)
 indicator("mfi_14", ta.mfi, q.mfi(_t()), ("mfi",))
 indicator("ad_line", ta.ad_line, q.ad_line(_t()), ("ad_line",))
 indicator("force_index", ta.force_index, q.force(_all()), ("force_index",), all_events)
-indicator("ease_of_movement", ta.ease_of_movement, q.ease(_all()), ("ease_of_movement",), all_events)
+indicator("ease_of_movement", ta.ease_of_movement, q.ease(_all()), ("ease_of_movement",), all_events, 2)
 
 
 # votes
