@@ -14,7 +14,7 @@ from barwright.llm.tokens import LEAD, SPACE, Words, flat, slices
 #: A repeat counts from so many words on.
 LEAST_REPEAT = 8
 #: A text fails if repeats cover more than this share of its words, or one repeat has more than so many words.
-MOST_COVERED = 0.25
+MOST_COVERED = 0.4
 MOST_LENGTH = 120
 LEAST_WORDS = 50
 MOST_PERCENT = 50
