@@ -270,7 +270,7 @@ def found(spark: SparkSession, sf_dir: str, config: search.Config = SPARSE_2) ->
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found(spark, sf_dir).withColumn("run_id", F.lit("sparse-2"))
+    return found(spark, sf_dir)
 
 
 register("search_sparse_2", lambda s, d: found(s, d).select(*_result))
@@ -280,13 +280,9 @@ register("search_exhaustive_pairs", lambda s, d: found(s, d, EXHAUSTIVE).select(
 
 def search_crosses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three-vote specification by the search's evaluator, to be compared with the relational backtest's SQL."""
-    out = None
     config = search.Config(max_combo_size=1, dense=False, categories=("trend",), modes=("long_short",))
-    space = search.Space(config)
-    at = [k for k, i in enumerate(space.instances) if i == _three[0]][0]
-    for series in search.prepare(by_type(spark, sf_dir), config):
-        rows = search.search(spark, series, config, at, at + 1)
-        out = rows if out is None else out.unionByName(rows)
+    at = search.Space(config).instances.index(_three[0])
+    out = search.search(search.prepare(by_type(spark, sf_dir), config), config, at, at + 1)
     m = F.from_json("metrics_json", report.METRICS_JSON)
     halves = F.explode(F.array(F.struct(F.lit("is").alias("half"), m["is"].alias("m")), F.struct(F.lit("oos").alias("half"), m["oos"].alias("m"))))
     return _shown(out.select("symbol", halves.alias("h")).select("symbol", "h.half", "h.m.*"), ("symbol", "half"))

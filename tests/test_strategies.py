@@ -92,7 +92,7 @@ def test_matrix_agrees_with_windows(bars):
     """The search's evaluator and the relational backtest give the same metrics."""
     config = replace(SMALL, adx_filters=(None, 25.0))
     space = search.Space(config)
-    (series,) = search.prepare(bars, config)
+    series = search._unpacked(search.prepare(bars, config).first())
     for ordinal in (0, 3, 160, 291, 300, 5001, 9002, 12001):
         spec = dict(space.specs(np.array([ordinal])))[ordinal]
         row = next(search.evaluate(space, series, np.array([ordinal]))).iloc[0]
