@@ -40,26 +40,27 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least
     """Write request, response or revisit, and metadata records for each row of pages(page_id, url, html).
 
     The payload is the html in UTF-8 (null: empty). Of rows with equal payloads of at least `least` bytes, the one with
-    the smallest page_id (nulls last) is the response and the others revisit it; smaller payloads are all responses.
-    Records of a row refer to each other by WARC-Concurrent-To; a null url has no WARC-Target-URI; line breaks in a
-    url are percent-encoded. Repeated rows are captures of their own. Spark's text writer commits the files, with the
-    record end as line separator, so a lost executor leaves no half archive. `pages` must read the same when read twice.
+    the smallest page_id (nulls last, then the smallest url) is the response and the others revisit it; smaller payloads
+    are all responses. Records of a row refer to each other by WARC-Concurrent-To, and a revisit to its response by
+    target URI, date and payload digest. A null url has no WARC-Target-URI; line breaks in a url are percent-encoded.
+    Repeated rows are captures of their own, and all responses if one is. Spark's text writer commits the files, with
+    the record end as line separator, so a lost executor leaves no half archive.
     """
     crlf = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     html = F.coalesce("html", F.lit(""))
     base = pages.select("page_id", crlf.alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("bytes"), _uuid(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.sha2(html, 256), F.monotonically_increasing_id()).alias("rid"))
-    order = F.struct(F.isnull("page_id").alias("none"), "page_id", "rid", "url")
+    order = F.struct(F.isnull("page_id").alias("none"), "page_id", F.isnull("url").alias("no_url"), "url")
     firsts = base.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = keep(firsts)
     many = firsts.count() > broadcast_rows
     rows = base.join(firsts if many else F.broadcast(firsts), "digest", "left")
-    again = F.col("first").isNotNull() & (F.col("first.rid") != F.col("rid"))
+    again = F.col("first").isNotNull() & ~(F.col("first.page_id").eqNullSafe(F.col("page_id")) & F.col("first.url").eqNullSafe(F.col("url")))
     sha = F.concat(F.lit("sha256:"), F.col("digest"))
     at = F.lit(date)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     answer = F.when(
         again,
-        _record(F.lit("revisit"), F.col("rid"), F.col("url"), at, http, ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Refers-To", F.col("first.rid")), ("WARC-Refers-To-Target-URI", F.col("first.url")), ("WARC-Payload-Digest", sha), ("Content-Type", F.lit("application/http; msgtype=response"))),
+        _record(F.lit("revisit"), F.col("rid"), F.col("url"), at, http, ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Refers-To-Target-URI", F.col("first.url")), ("WARC-Refers-To-Date", at), ("WARC-Payload-Digest", sha), ("Content-Type", F.lit("application/http; msgtype=response"))),
     ).otherwise(_record(F.lit("response"), F.col("rid"), F.col("url"), at, F.concat(http, "html"), ("WARC-Payload-Digest", sha), ("Content-Type", F.lit("application/http; msgtype=response"))))
     ask = F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(" HTTP/1.1" + END))
     request = _record(F.lit("request"), _uuid("rid", F.lit("request")), F.col("url"), at, ask, ("WARC-Concurrent-To", F.col("rid")), ("Content-Type", F.lit("application/http; msgtype=request")))
@@ -173,9 +174,14 @@ def captures(records: DataFrame) -> DataFrame:
 
 
 def resolve(assembled: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): revisits get the payload they refer to."""
-    flat = keep(assembled.where("response is not null").select("capture_id", F.col("metadata")[0]["page_id"].alias("page_id"), F.col("response.rtype").alias("record_type"), F.col("response.refers_to").alias("to"), F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_digest").alias("digest")))
-    seen = flat.where("record_type = 'response'").select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("of_bytes"), F.col("digest").alias("of_digest"))
-    first = flat.where("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    again = flat.where("record_type = 'revisit'").join(seen, "to", "left").select("page_id", F.col("of_bytes").alias("payload_bytes"), F.col("of_digest").alias("payload_digest"), "record_type", "refers_to")
-    return first.unionByName(again)
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to): revisits get the payload that their digest names.
+
+    refers_to is the smallest page_id among the responses with that payload. A revisit without its response in the
+    archives keeps its digest, with no bytes.
+    """
+    flat = keep(assembled.where("response is not null").select(F.col("metadata")[0]["page_id"].alias("page_id"), F.col("response.rtype").alias("record_type"), F.col("response.header_digest").alias("named"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest")))
+    first = flat.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    owner = F.min(F.struct(F.isnull("page_id").alias("none"), "page_id"))
+    seen = first.groupBy("payload_digest").agg(owner.alias("owner"), F.first("payload_bytes").alias("of_bytes")).withColumnRenamed("payload_digest", "named")
+    again = flat.where("record_type = 'revisit'").join(seen, "named", "left")
+    return first.unionByName(again.select("page_id", F.col("of_bytes").alias("payload_bytes"), F.col("named").alias("payload_digest"), "record_type", F.col("owner.page_id").alias("refers_to")))
