@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barwright.functions.signals import CATEGORY
 
 ORDERS = ("score", "oos_sharpe", "oos_return", "win_rate")
-#: The reference behaviour cuts a pool of max(50 n, 3000) rows before the filters that need metrics; `pool=True` does so too.
+#: With `pool=True`, max(50 n, 3000) rows are cut out before the filters that need metrics.
 POOL_FACTOR, POOL_LEAST = 50, 3000
 
 HALF = "struct<total_return: double, cagr: double, ann_vol: double, sharpe: double, sortino: double, max_drawdown: double, calmar: double, win_rate: double, trade_win_rate: double, trade_wins: bigint, trade_count: bigint, profit_factor: double, exposure: double, num_trades: bigint, n_bars: bigint>"
