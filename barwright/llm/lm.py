@@ -145,27 +145,26 @@ def _answer(table: pa.Table) -> pa.Table:
     out = {}
     for name in ("fit", "deleted"):
         counts = np.concatenate([_unpack(x, np.uint32) for x in table.column(name).to_pylist()])[order].astype(np.int64)
-        total = np.add.reduceat(counts, begin)
-        out[name] = total
+        out[name] = np.add.reduceat(counts, begin)
     back = np.empty(len(order), np.int64)
     back[order] = number
     ends = np.cumsum([len(k) for k in keys])
-    fit, deleted = ([_pack(x.astype(np.int64)) for x in np.split(out[n][back], ends[:-1])] for n in ("fit", "deleted"))
-    known = int(((out["fit"] + out["deleted"] > 0) & (ranked[begin] & np.uint64(1) == 0)).sum())
+    total = out["fit"] + out["deleted"]
+    fit, train = ([_pack(y) for y in np.split(x[back], ends[:-1])] for x in (out["fit"], total))
+    known = int(((total > 0) & (ranked[begin] & np.uint64(1) == 0)).sum())
     fitted = int(((out["fit"] > 0) & (ranked[begin] & np.uint64(1) == 0)).sum())
     n = table.num_rows
-    return pa.table({"g": table.column("g"), "block": table.column("block"), "fit": pa.array(fit, pa.binary()), "deleted": pa.array(deleted, pa.binary()), "types": pa.array([known] + [0] * (n - 1), pa.int64()), "fit_types": pa.array([fitted] + [0] * (n - 1), pa.int64())})
+    return pa.table({"g": table.column("g"), "block": table.column("block"), "fit": pa.array(fit, pa.binary()), "train": pa.array(train, pa.binary()), "types": pa.array([known] + [0] * (n - 1), pa.int64()), "fit_types": pa.array([fitted] + [0] * (n - 1), pa.int64())})
 
 
-def _pairs(blocks: DataFrame, answers: DataFrame, work, schema: str) -> DataFrame:
-    """work(block row, fit counts of its keys, deleted counts) for each block with its answers."""
+def _pairs(blocks: DataFrame, answers: DataFrame, which: str, work, schema: str) -> DataFrame:
+    """work(block row, counts of its keys) for each block with its answers, the counts of fit or train documents."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("g")
-        fit, deleted = (np.concatenate([_unpack(x, np.int64) for x in right.column(n).to_pylist()] or [np.zeros(0, np.int64)]) for n in ("fit", "deleted"))
-        return work({n: left.column(n)[0] for n in left.schema.names}, fit, deleted)
+        counts = [_unpack(x, np.int64) for x in right.sort_by("g").column("counts").to_pylist()]
+        return work({n: left.column(n)[0] for n in left.schema.names}, np.concatenate([*counts, np.zeros(0, np.int64)]))
 
-    return blocks.groupBy("block").cogroup(answers.select("block", "g", "fit", "deleted").groupBy("block")).applyInArrow(both, schema)
+    return blocks.groupBy("block").cogroup(answers.select("block", "g", F.col(which).alias("counts")).groupBy("block")).applyInArrow(both, schema)
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -222,10 +221,10 @@ def learn_weights(cells: list[tuple[int, int, int, float]], rounds: int = ROUNDS
 
 
 def _cells(tokens: float, types: float, starts: float):
-    def work(row: dict, fit: np.ndarray, deleted: np.ndarray) -> pa.Table:
+    def work(row: dict, counts: np.ndarray) -> pa.Table:
         block = _load(row["fold"].values.to_numpy(), row["lens"].values.to_numpy(), row["words"].as_py(), row["tokens"].as_py())
         at = np.flatnonzero(block.fold[block.doc] == DELETED)
-        bucket, two, one, flat_p, _ = _components(block, at, fit, tokens, types, starts)
+        bucket, two, one, flat_p, _ = _components(block, at, counts, tokens, types, starts)
         to_bin = lambda p: np.where(p > 0, np.clip(np.rint(np.log2(np.maximum(p, 1e-300) / flat_p) / BIN) + _BINS // 2, 0, _BINS - 1), -1).astype(np.int64)
         cell, n = np.unique((bucket * (_BINS + 1) + to_bin(two) + 1) * (_BINS + 1) + to_bin(one) + 1, return_counts=True)
         return pa.table({"cell": pa.array(cell), "n": pa.array(n)})
@@ -234,9 +233,9 @@ def _cells(tokens: float, types: float, starts: float):
 
 
 def _scores(kind: pa.DataType, model: Model):
-    def work(row: dict, fit: np.ndarray, deleted: np.ndarray) -> pa.Table:
+    def work(row: dict, counts: np.ndarray) -> pa.Table:
         block = _load(row["fold"].values.to_numpy(), row["lens"].values.to_numpy(), row["words"].as_py(), row["tokens"].as_py())
-        bucket, two, one, flat_p, c = _components(block, np.arange(block.n), fit + deleted, model.tokens, model.types, model.starts)
+        bucket, two, one, flat_p, c = _components(block, np.arange(block.n), counts, model.tokens, model.types, model.starts)
         w = model.weights[bucket]
         p = np.log10(w[:, 0] * two + w[:, 1] * one + w[:, 2] * flat_p)
         base = np.log10((c + 1) / (model.tokens + model.types + 1))
@@ -273,9 +272,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     n_train, n_fit, d_train, d_fit, n_keys = blocks.agg(token_sum(train), token_sum(fit), doc_sum(train), doc_sum(fit), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
     groups = max(1, -(-n_keys // GROUP_KEYS), int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     asked = blocks.select("block", "fold", "lens", "words", "tokens").mapInArrow(_asked(groups), "g int, block long, keys binary, fit binary, deleted binary")
-    answers = stash(asked.groupBy("g").applyInArrow(_answer, "g int, block long, fit binary, deleted binary, types long, fit_types long"), "lm-counts")
+    answers = stash(asked.groupBy("g").applyInArrow(_answer, "g int, block long, fit binary, train binary, types long, fit_types long"), "lm-counts")
     types, fit_types = answers.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("fit_types"), F.lit(0))).first()
-    held = _pairs(blocks.select("block", "fold", "lens", "words", "tokens"), answers, _cells(n_fit, fit_types, d_fit), "cell long, n long")
+    held = _pairs(blocks.select("block", "fold", "lens", "words", "tokens"), answers, "fit", _cells(n_fit, fit_types, d_fit), "cell long, n long")
     cells = []
     for r in held.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # bounded by buckets and bins
         rest, one = divmod(r["cell"], _BINS + 1)
@@ -285,5 +284,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     ids = blocks.schema["ids"].dataType.elementType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    scored = _pairs(blocks, answers, _scores(to_arrow_type(ids), model), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = _pairs(blocks, answers, "train", _scores(to_arrow_type(ids), model), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"), model
