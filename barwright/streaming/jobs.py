@@ -32,6 +32,8 @@ def upsert_into(path: str):
 
     def sink(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{path}_checkpoints")
         fresh = batch.persist()
         try:
             # The series of the batch, old and new bars; written beside the table's other series.
