@@ -357,7 +357,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Groups are those of near_groups, or with `similarity` those of similar_links: by shingle sets instead of bits.
     Where several rows of a group share that id, or none of its ids is set, the smallest row by all columns stays.
-    Texts are not shuffled but for the few rows whose id is repeated.
+    Texts are shuffled once, to meet the ids that stay; fingerprints and links carry none.
     """
     marked, of_fp = _groups(docs, id_col, text_col, shingle, radius, bucket, similarity)
     of_fp = keep(of_fp)
