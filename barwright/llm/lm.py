@@ -30,7 +30,8 @@ ROUNDS = 50
 _END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
-BLOCKS = "block long, ids array<{kind}>, fold array<tinyint>, lens array<int>, words binary, tokens binary, n_keys int"
+#: A block of all documents of a stretch, or, `again`, of its deleted ones alone, which EM asks for.
+BLOCKS = "block long, again boolean, ids array<{kind}>, fold array<tinyint>, lens array<int>, words binary, tokens binary, n_keys int"
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -91,16 +92,25 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words(LOWER[data], off, SPACE)
         ids, distinct = w.encode()
         hashes = np.fromiter((xxhash.xxh64_intdigest(x.as_buffer(), 1) for x in distinct), np.uint64, len(distinct))
-        n = np.diff(w.rows)
-        words, rank = np.unique(np.append(hashes, _END), return_inverse=True)
-        tokens = rank[np.insert(ids, w.rows[1:], len(distinct))].astype(np.int32)
+        lens = np.diff(w.rows) + 1
+        codes = np.insert(ids, w.rows[1:], len(distinct))
+        hashes = np.append(hashes, _END)
         fold = (crc32_of(b.column(0)) % FOLDS).astype(np.int8)
-        block = Block(fold, n + 1, words, tokens)
-        whole = pa.array([0, b.num_rows], pa.int32())
-        yield pa.record_batch(
-            [pa.array([number]), pa.ListArray.from_arrays(whole, b.column(0)), pa.array([fold]), pa.array([(n + 1).astype(np.int32)]), pa.array([_pack(np.diff(words, prepend=np.uint64(0)))], pa.binary()), pa.array([_pack(tokens)], pa.binary()), pa.array([len(block.keys)], pa.int32())],
-            names=[x.split()[0] for x in BLOCKS.split(", ")],
-        )
+        for again, take in ((False, np.ones(len(fold), bool)), (True, fold == DELETED)):
+            if not take.any():
+                continue
+            own = codes[np.repeat(take, lens)]
+            used = np.flatnonzero(np.bincount(own, minlength=len(hashes)))
+            words, rank = np.unique(hashes[used], return_inverse=True)
+            number_of = np.zeros(len(hashes), np.int32)
+            number_of[used] = rank
+            tokens = number_of[own]
+            block = Block(fold[take], lens[take], words, tokens)
+            whole = pa.array([0, int(take.sum())], pa.int32())
+            yield pa.record_batch(
+                [pa.array([number]), pa.array([again]), pa.ListArray.from_arrays(whole, b.column(0).filter(pa.array(take))), pa.array([fold[take]]), pa.array([lens[take].astype(np.int32)]), pa.array([_pack(np.diff(words, prepend=np.uint64(0)))], pa.binary()), pa.array([_pack(tokens)], pa.binary()), pa.array([len(block.keys)], pa.int32())],
+                names=[x.split()[0] for x in BLOCKS.split(", ")],
+            )
         number += 1
 
 
@@ -122,20 +132,21 @@ def _asked(groups: int):
             for r in range(b.num_rows):
                 row = {n: b.column(n)[r] for n in b.schema.names}
                 block = _load(row["fold"].values.to_numpy(), row["lens"].values.to_numpy(), row["words"].as_py(), row["tokens"].as_py())
+                again = row["again"].as_py()
                 fit = block.tally((block.fold != HELD_OUT) & (block.fold != DELETED)).astype(np.uint32)
-                deleted = block.tally(block.fold == DELETED).astype(np.uint32)
+                deleted = block.tally(block.fold == DELETED).astype(np.uint32) * np.uint32(not again)  # counted once
                 cut = _cuts(block.keys, groups)
                 full = np.flatnonzero(cut[1:] > cut[:-1])
                 part = lambda x: [_pack(x[cut[g] : cut[g + 1]]) for g in full]  # noqa: B023, E731
                 first = np.concatenate((block.keys[:1], np.diff(block.keys)))
                 first[cut[full]] = block.keys[cut[full]]  # each group's keys as differences
-                yield pa.record_batch([pa.array(full.astype(np.int32)), pa.array([row["block"].as_py()] * len(full), pa.int64()), pa.array(part(first), pa.binary()), pa.array(part(fit), pa.binary()), pa.array(part(deleted), pa.binary())], names=["g", "block", "keys", "fit", "deleted"])
+                yield pa.record_batch([pa.array(full.astype(np.int32)), pa.array([row["block"].as_py()] * len(full), pa.int64()), pa.array([again] * len(full)), pa.array(part(first), pa.binary()), pa.array(part(fit), pa.binary()), pa.array(part(deleted), pa.binary())], names=["g", "block", "again", "keys", "fit", "deleted"])
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """The counts over all blocks of the keys that each block asked for, in its order."""
+    """The counts over all blocks of the keys that each block asked for, in its order: for EM without the deleted documents."""
     keys = [np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
@@ -150,21 +161,23 @@ def _answer(table: pa.Table) -> pa.Table:
     back[order] = number
     ends = np.cumsum([len(k) for k in keys])
     total = out["fit"] + out["deleted"]
-    fit, train = ([_pack(y) for y in np.split(x[back], ends[:-1])] for x in (out["fit"], total))
+    again = table.column("again").to_pylist()
+    counts = [_pack((out["fit"] if a else total)[at]) for a, at in zip(again, np.split(back, ends[:-1]), strict=True)]
     known = int(((total > 0) & (ranked[begin] & np.uint64(1) == 0)).sum())
     fitted = int(((out["fit"] > 0) & (ranked[begin] & np.uint64(1) == 0)).sum())
     n = table.num_rows
-    return pa.table({"g": table.column("g"), "block": table.column("block"), "fit": pa.array(fit, pa.binary()), "train": pa.array(train, pa.binary()), "types": pa.array([known] + [0] * (n - 1), pa.int64()), "fit_types": pa.array([fitted] + [0] * (n - 1), pa.int64())})
+    return pa.table({"g": table.column("g"), "block": table.column("block"), "again": table.column("again"), "counts": pa.array(counts, pa.binary()), "types": pa.array([known] + [0] * (n - 1), pa.int64()), "fit_types": pa.array([fitted] + [0] * (n - 1), pa.int64())})
 
 
-def _pairs(blocks: DataFrame, answers: DataFrame, which: str, work, schema: str) -> DataFrame:
-    """work(block row, counts of its keys) for each block with its answers, the counts of fit or train documents."""
+def _pairs(blocks: DataFrame, answers: DataFrame, again: bool, work, schema: str) -> DataFrame:
+    """work(block row, counts of its keys) for each block with its answers."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         counts = [_unpack(x, np.int64) for x in right.sort_by("g").column("counts").to_pylist()]
         return work({n: left.column(n)[0] for n in left.schema.names}, np.concatenate([*counts, np.zeros(0, np.int64)]))
 
-    return blocks.groupBy("block").cogroup(answers.select("block", "g", F.col(which).alias("counts")).groupBy("block")).applyInArrow(both, schema)
+    mine = F.col("again") == again
+    return blocks.where(mine).drop("again").groupBy("block").cogroup(answers.where(mine).select("block", "g", "counts").groupBy("block")).applyInArrow(both, schema)
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -223,7 +236,7 @@ def learn_weights(cells: list[tuple[int, int, int, float]], rounds: int = ROUNDS
 def _cells(tokens: float, types: float, starts: float):
     def work(row: dict, counts: np.ndarray) -> pa.Table:
         block = _load(row["fold"].values.to_numpy(), row["lens"].values.to_numpy(), row["words"].as_py(), row["tokens"].as_py())
-        at = np.flatnonzero(block.fold[block.doc] == DELETED)
+        at = np.arange(block.n)
         bucket, two, one, flat_p, _ = _components(block, at, counts, tokens, types, starts)
         to_bin = lambda p: np.where(p > 0, np.clip(np.rint(np.log2(np.maximum(p, 1e-300) / flat_p) / BIN) + _BINS // 2, 0, _BINS - 1), -1).astype(np.int64)
         cell, n = np.unique((bucket * (_BINS + 1) + to_bin(two) + 1) * (_BINS + 1) + to_bin(one) + 1, return_counts=True)
@@ -266,15 +279,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     kind = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
     blocks = stash(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_blocks, BLOCKS.format(kind=kind)), "lm-blocks")
-    token_sum = lambda keep_fold: F.coalesce(F.sum(F.expr(f"aggregate(zip_with(fold, lens, (f, l) -> if({keep_fold}, cast(l as bigint), 0L)), 0L, (a, x) -> a + x)")), F.lit(0))
-    doc_sum = lambda keep_fold: F.coalesce(F.sum(F.expr(f"size(filter(fold, f -> {keep_fold}))")), F.lit(0))
+    token_sum = lambda keep_fold: F.coalesce(F.sum(F.expr(f"if(again, 0L, aggregate(zip_with(fold, lens, (f, l) -> if({keep_fold}, cast(l as bigint), 0L)), 0L, (a, x) -> a + x))")), F.lit(0))
+    doc_sum = lambda keep_fold: F.coalesce(F.sum(F.expr(f"if(again, 0, size(filter(fold, f -> {keep_fold})))")), F.lit(0))
     train, fit = f"f <> {HELD_OUT}", f"f <> {HELD_OUT} and f <> {DELETED}"
     n_train, n_fit, d_train, d_fit, n_keys = blocks.agg(token_sum(train), token_sum(fit), doc_sum(train), doc_sum(fit), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
     groups = max(1, -(-n_keys // GROUP_KEYS), int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    asked = blocks.select("block", "fold", "lens", "words", "tokens").mapInArrow(_asked(groups), "g int, block long, keys binary, fit binary, deleted binary")
-    answers = stash(asked.groupBy("g").applyInArrow(_answer, "g int, block long, fit binary, train binary, types long, fit_types long"), "lm-counts")
+    asked = blocks.select("block", "again", "fold", "lens", "words", "tokens").mapInArrow(_asked(groups), "g int, block long, again boolean, keys binary, fit binary, deleted binary")
+    answers = stash(asked.groupBy("g").applyInArrow(_answer, "g int, block long, again boolean, counts binary, types long, fit_types long"), "lm-counts")
     types, fit_types = answers.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("fit_types"), F.lit(0))).first()
-    held = _pairs(blocks.select("block", "fold", "lens", "words", "tokens"), answers, "fit", _cells(n_fit, fit_types, d_fit), "cell long, n long")
+    held = _pairs(blocks.select("block", "again", "fold", "lens", "words", "tokens"), answers, True, _cells(n_fit, fit_types, d_fit), "cell long, n long")
     cells = []
     for r in held.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # bounded by buckets and bins
         rest, one = divmod(r["cell"], _BINS + 1)
@@ -284,5 +297,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     ids = blocks.schema["ids"].dataType.elementType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    scored = _pairs(blocks, answers, "train", _scores(to_arrow_type(ids), model), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = _pairs(blocks, answers, False, _scores(to_arrow_type(ids), model), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"), model
