@@ -150,3 +150,47 @@ def test_hot_group_of_copies(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, "the same text in very many rows").otherwise(F.concat_ws(" ", F.lit("text"), F.md5(F.col("id").cast("string")), F.sha1(F.col("id").cast("string")), F.sha2(F.col("id").cast("string"), 256))).alias("text"))
     got = simhash.near_groups(df).groupBy("component_id").count().orderBy(F.desc("count")).first()
     assert (got["component_id"], got["count"]) == (0, 1500)
+
+
+def brute_groups(texts, similarity=0.8):
+    """Component of each text by the exact Jaccard similarity of five-word shingle sets."""
+    vocabulary, sets = {}, []
+    for t in texts:
+        w = t.split()
+        sets.append(np.array(sorted({vocabulary.setdefault(tuple(w[i : i + 5]), len(vocabulary)) for i in range(len(w) - 4)})))
+    size = np.array([len(s) for s in sets])
+    row, code = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+    root = np.arange(len(sets))
+    for i, own in enumerate(sets):
+        mark = np.zeros(len(vocabulary), bool)
+        mark[own] = True
+        both = np.bincount(row[mark[code]], minlength=len(sets))
+        near = np.unique(root[both >= similarity * (size + size[i] - both) - 1e-9])
+        root[np.isin(root, near)] = near[0]
+    return root
+
+
+def families(seed, n, words, changes):
+    """n texts with some words of one base changed, each in its own places."""
+    rng = random.Random(seed)
+    base = [f"w{seed}x{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for at in rng.sample(range(words), rng.choice(changes)):
+            own[at] = f"c{seed}x{i}x{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def found_groups(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    marked, of = simhash._groups(df, "doc_id", "text", 5, 2, 1024, 0.8)
+    comp = {r["id"]: r["component_id"] for r in marked.join(of, "fp").collect()}
+    return np.array([comp[i] for i in range(len(texts))])
+
+
+def test_large_family_is_linked_whole(spark):
+    """Thousands of different texts about one base, many of them similar to few others only."""
+    texts = families(1, 3000, 120, [1, 2, 3, 4, 5]) + families(2, 40, 120, [0, 1, 2])
+    assert (found_groups(spark, texts) == brute_groups(texts)).all()
