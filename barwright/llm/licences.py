@@ -195,10 +195,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                     last[r] = max(last[r], place)
             labels, spans, score = [set(x) for x in base], [[] for _ in base], np.where(n_base > 0, 0.5, 0.0)
             # Stretches of template words, long enough for a match; near ones of a document are scanned together.
-            inside = np.concatenate(([0], ids >= 0, [0])).astype(np.int8)
-            begin, end = np.flatnonzero(np.diff(inside) == 1), np.flatnonzero(np.diff(inside) == -1)
-            cut = np.searchsorted(w.rows, begin, "right") < np.searchsorted(w.rows, end - 1, "right")
-            rows = set(row[begin[(end - begin >= LEAST_MATCH) | cut]].tolist()) | (set(row[end[cut] - 1].tolist()) if cut.any() else set())
+            # A stretch ends with its document.
+            inside = ids >= 0
+            fresh = np.diff(row, prepend=-1) != 0
+            begin = np.flatnonzero(inside & (fresh | ~np.append(False, inside)[:-1]))
+            end = np.flatnonzero(inside & np.append(fresh[1:] | ~inside[1:], True)[: len(ids)]) + 1
+            rows = set(row[begin[end - begin >= LEAST_MATCH]].tolist())
             for r in sorted(rows):
                 own = ids[w.rows[r] : w.rows[r + 1]]
                 near = np.flatnonzero(own >= 0)

@@ -141,3 +141,12 @@ def test_verdicts(spark):
     got = {r["id"]: r for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i]["kept"] for i in (1, 2, 3, 4)] == [True, False, True, False]
     assert got[2]["longest_repeat"] == 130 and got[2]["covered_words"] == 260
+
+
+def test_adjacent_licence_only_texts(spark):
+    """Texts of template words alone, next to each other and to texts that begin and end with such words."""
+    text = licences.TEMPLATES["cc-by"][0]
+    rows = [(i, text) for i in range(5)] + [(5, "the work"), (6, None), (7, text), (8, "this"), (9, "zebra"), (10, text)]
+    got = {r["id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    for i, t in rows:
+        assert (got[i]["labels"], got[i]["score"]) == (("cc-by", 1.0) if t == text else ("", 0.0)), i
