@@ -194,3 +194,19 @@ def test_large_family_is_linked_whole(spark):
     """Thousands of different texts about one base, many of them similar to few others only."""
     texts = families(1, 3000, 120, [1, 2, 3, 4, 5]) + families(2, 40, 120, [0, 1, 2])
     assert (found_groups(spark, texts) == brute_groups(texts)).all()
+
+
+def test_threshold_is_exact(spark):
+    """Pairs around a similarity of 0.8 are linked as their sets say: 0.8 itself is in."""
+    texts = []
+    for f in range(150):
+        base = [f"w{f}x{i}" for i in range(94)]  # 90 shingles
+        texts.append(" ".join(base))
+        cut = 6 + f % 8  # a changed tail of 6 to 13 words: similarities of 0.87 to 0.75, at 10 words 80 / 100
+        texts.append(" ".join(base[: 94 - cut] + [f"c{f}x{i}" for i in range(cut)]))
+    for f in range(50):
+        base = [f"y{f}x{i}" for i in range(104)]  # 100 shingles, the other has 80 of them
+        texts += [" ".join(base), " ".join(base[:84])]
+    want = brute_groups(texts)
+    assert (want[300::2] == want[301::2]).all() and (want[:300:2] != want[1:300:2]).any()
+    assert (found_groups(spark, texts) == want).all()
