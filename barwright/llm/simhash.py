@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import components, keep, stash
+from barwright.llm.common import components, join_by_key, keep, small
+from barwright.llm.setjoin import set_fingerprints, similar_groups
 
 SHINGLE = 3
 RADIUS = 2
@@ -163,290 +164,19 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     return edges.unionByName(masked.repartition("k", "p").sortWithinPartitions("k", "p", "fp").mapInArrow(_chain, "a long, b long"))
 
 
-#: Wide fingerprints estimate a similarity by their bits; groups by similarity count shingles instead.
-WIDE_BITS = 1024
-_ODD = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(WIDE_BITS // 64)], np.uint64)
-
-
-def bit_share(similarity: float) -> float:
-    """The share of SimHash bits in which two sets of this Jaccard similarity are expected to differ."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def wide_fingerprint(text: str | None, shingle: int) -> bytes:
-    """WIDE_BITS of SimHash over the distinct word shingles of a text (fewer words: the whole; none: all bits 0)."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return bytes(WIDE_BITS // 8)
-    runs = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else (words,)
-    own = np.fromiter({xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs}, np.uint64)
-    ones = np.zeros(WIDE_BITS, np.int64)
-    for lo in range(0, len(own), 255):  # counts of up to 255 fit a byte
-        x = own[lo : lo + 255, None] * _ODD
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(own)).tobytes()
-
-
-SIMILARITY = 0.8
-#: Sets that share an indexed shingle: up to SHORT of them are paired at once, more by tiles of about TILE sets.
-SHORT, TILE = 64, 2048
-#: Bits of the parity bitmap that bounds how far two sets are apart.
-PARITY_BITS = 1024
-#: Shingles found COMMON times in one of SAMPLE texts are indexed last; at most MOST_COMMON, which bears on speed alone.
-SAMPLE, COMMON, MOST_COMMON = 16, 16, 200_000
-_EPS = 1e-9
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct word shingles of a text as sorted XXH64 values (fewer words: the whole; none: no values)."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    runs = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else (words,)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs), np.uint64))
-
-
-def _set_fp(own: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(own.tobytes(), SEED)
-
-
-def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
-    """Shingles that many texts hold, by a fixed sample of the distinct texts; sorted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, shingle) for t in b.column(0).to_pylist())])
-            yield pa.record_batch([pa.array(own.view(np.int64))], names=["h"])
-
-    texts = docs.select(F.col(text_col).alias("text")).where(f"pmod(xxhash64(text), {SAMPLE}) = 0").distinct()
-    found = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    rows = found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
-
-
-def set_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float = SIMILARITY, common: np.ndarray | None = None) -> DataFrame:
-    """(id, fp, n, prefix, parity) of each row: a 64-bit hash and the size of its shingle set, the shingles it is indexed
-    under, and a bitmap of how often, modulo 2, its shingles fall on each of PARITY_BITS places."""
-    last = np.zeros(0, np.uint64) if common is None else common
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps, sizes, prefixes, parities = [], [], [], []
-            for t in b.column(1).to_pylist():
-                own = shingle_set(t, shingle)
-                n = len(own)
-                late = np.isin(own, last, assume_unique=True) if len(last) == 0 else last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
-                first = n - int(np.ceil(similarity * n - _EPS)) + 1 if n else 0
-                fps.append(_set_fp(own))
-                sizes.append(n)
-                prefixes.append(np.concatenate((own[~late], own[late]))[:first].tobytes())
-                parities.append(np.packbits(np.bincount((own % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes())
-            fp = np.array(fps, np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fp), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(parities, pa.binary())], names=["id", "fp", "n", "prefix", "parity"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, n long, prefix binary, parity binary")
-
-
-def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, fp, n, room): a row for each indexed shingle k; room is how many shingles of the set stand from there on."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            b = batch.slice(lo, 2000)
-            own = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
-            each = np.array([len(x) for x in own], np.int64)
-            n = np.repeat(b.column("n").to_numpy(), each)
-            at = np.arange(len(n)) - np.repeat(np.cumsum(each) - each, each)
-            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), pa.array(np.repeat(b.column("fp").to_numpy(), each)), pa.array(n), pa.array(n - at)], names=["k", "fp", "n", "room"])
-
-
-def _runs(similarity: float):
-    """From rows sorted by k: (a, b, null) for pairs of a run that can be similar; (k, smallest fp, size) for a run of more than SHORT rows."""
-    part = similarity / (1 + similarity)
-    names = ["a", "b", "size"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, long = np.zeros((0, 4), np.int64), None  # long: [k, smallest fp, size] of a run that goes on
-
-        def whole(k: int, least: int, size: int) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([k], pa.int64()), pa.array([least], pa.int64()), pa.array([size], pa.int64())], names=names)
-
-        def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            k, fp, n, room = rows.T
-            begin = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            size = np.diff(np.append(begin, len(k)))
-            each = np.repeat(size, size)
-            left = each - (np.arange(len(k)) - np.repeat(begin, size))
-            at = np.flatnonzero((left > 1) & (each <= SHORT))
-            for shift in range(1, SHORT):
-                at = at[left[at] > shift]
-                if not len(at):
-                    break
-                to = at + shift
-                near = np.minimum(room[at], room[to]) >= part * (n[at] + n[to]) - _EPS
-                x, y = fp[at[near]], fp[to[near]]
-                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], names=names)
-            for b, m in zip(begin[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
-                yield whole(int(k[b]), int(fp[b : b + m].min()), m)
-
-        for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], 1)
-            if long is not None:
-                m = int(np.searchsorted(rows[:, 0], long[0], "right"))
-                if m:
-                    long = [long[0], min(long[1], int(rows[:m, 1].min())), long[2] + m]
-                if m == len(rows):
-                    continue
-                yield whole(*long)
-                rows, long = rows[m:], None
-            held = np.concatenate((held, rows)) if len(held) else rows
-            if not len(held):
-                continue
-            last = int(np.searchsorted(held[:, 0], held[-1, 0]))
-            if last:
-                yield from done(held[:last])
-            held = held[last:]
-            if len(held) > SHORT:
-                held, long = held[:0], [int(held[0, 0]), int(held[:, 1].min()), len(held)]
-        if long is not None:
-            yield whole(*long)
-        if len(held):
-            yield from done(held)
-
-    return run
-
-
-def _tile(similarity: float, nearest: bool):
-    """Of one tile of a long run, (a, b) for pairs with different labels that can be similar; or each row's nearest such one."""
-    part = similarity / (1 + similarity)
-
-    def run(t: pa.Table) -> pa.Table:
-        fp, n, room, label, own, x, y = (t.column(c).to_numpy() for c in ("fp", "n", "room", "label", "own", "x", "y"))
-        parity = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(len(fp), -1)
-        rows, others = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(rows), 64):
-            i = rows[lo : lo + 64, None]
-            can = (label[i] != label[others]) & (np.minimum(room[i], room[others]) >= part * (n[i] + n[others]) - _EPS)
-            if x[0] == y[0] and not nearest:
-                can &= fp[i] < fp[others]
-            p, q = np.nonzero(can)
-            p, q = i[p, 0], others[q]
-            apart = np.bitwise_count(parity[p] ^ parity[q]).sum(1, dtype=np.int64)
-            good = apart <= (1 - 2 * part) * (n[p] + n[q]) + _EPS
-            p, q, apart = p[good], q[good], apart[good]
-            if nearest and len(p):
-                order = np.lexsort((fp[q], apart, p))
-                p, q = p[order], q[order]
-                lead = np.concatenate(([True], p[1:] != p[:-1]))
-                p, q = p[lead], q[lead]
-            a.append(np.minimum(fp[p], fp[q]))
-            b.append(np.maximum(fp[p], fp[q]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return run
-
-
-def _possible(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("parity_a", "parity_b"))
-            most = (1 - similarity) / (1 + similarity) * (b.column("n_a").to_numpy() + b.column("n_b").to_numpy()) + _EPS
-            yield b.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most))
-
-    return run
-
-
-def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """Sent to all tasks if it has few rows."""
-    df = keep(df)
-    return F.broadcast(df) if df.count() <= most else df
-
-
-def _similar(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("own_a"), b.column("own_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both) - _EPS)
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return run
-
-
-def similar_links(docs: DataFrame, marked: DataFrame, owners: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between shingle sets of Jaccard similarity `similarity` or more that keep every group linked.
-
-    In one order of all shingles, two sets of n and m that are similar share one of their first n - ceil(similarity n) + 1
-    and m - ceil(similarity m) + 1. Each set is indexed under these, common ones last. Sets that meet can be similar only
-    if enough shingles stand from their first common one on, and every such pair is decided by the sets themselves.
-    Runs of more than SHORT sets are first linked to their smallest and then, tile by tile, each set to the nearest one
-    outside its group; at last all pairs of different groups are compared. Parity bitmaps leave out only pairs that
-    differ in too many shingles for certain.
-    """
-    rows = keep(marked.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "parity")]))
-    index = rows.select("fp", "n", "prefix").mapInArrow(_indexed, "k long, fp long, n long, room long")
-    met = keep(index.repartition("k").sortWithinPartitions("k").mapInArrow(_runs(similarity), "a long, b long, size long").distinct())
-    pairs = met.where("size is null").select("a", "b")
-    runs = met.where("size is not null").select(F.col("a").alias("k"), F.col("b").alias("least"))
-    long = None if runs.isEmpty() else keep(index.join(_small(runs), "k"))
-    if long is not None:
-        star = long.groupBy("fp").agg(F.min("least").alias("least")).where("fp <> least")
-        pairs = pairs.unionByName(star.select(F.col("least").alias("a"), F.col("fp").alias("b"))).distinct()
-
-    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(np.array([_set_fp(x) for x in own], np.uint64).view(np.int64)), pa.array([x.tobytes() for x in own], pa.binary())], names=["fp", "own"])
-
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-    def with_sides(p: DataFrame, of: DataFrame) -> DataFrame:
-        for n in ("a", "b"):
-            p = p.join(of.select(*[F.col(c).alias(n if c == "fp" else f"{c}_{n}") for c in of.columns]), n)
-        return p
-
-    def similar(p: DataFrame) -> DataFrame:
-        """The pairs that are similar, by the sets of the texts in question."""
-        wanted = keep(p.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-        ids = _small(wanted.join(owners, "fp").select("low").distinct())
-        own = texts.join(ids, texts["id"].eqNullSafe(ids["low"]), "left_semi").select("text").mapInArrow(owned, "fp long, own binary")
-        sets = stash(own.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
-        return keep(with_sides(p, sets).select("a", "b", "own_a", "own_b").mapInArrow(_similar(similarity), "a long, b long"))
-
-    pairs = keep(with_sides(pairs, rows.select("fp", "n", "parity")).select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(_possible(similarity), "a long, b long"))
-    edges = similar(pairs)
-    for nearest in (True, False) if long is not None else ():
-        labelled = long.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("k", "fp", "n", "room", F.coalesce("root", "fp").alias("label"))
-        mixed = labelled.groupBy("k").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        dealt = labelled.join(mixed.selectExpr("k", f"cast(ceil(size / {TILE}) as int) as tiles"), "k").join(rows.select("fp", "parity"), "fp")
-        dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(fp), tiles) as int)")).withColumn("to", F.expr("explode(sequence(0, tiles - 1))"))
-        tiles = dealt.withColumn("x", F.least("own", "to")).withColumn("y", F.greatest("own", "to")).drop("to", "tiles")
-        more = keep(tiles.groupBy("k", "x", "y").applyInArrow(_tile(similarity, nearest), "a long, b long").distinct())
-        if more.isEmpty():
-            break
-        edges = keep(edges.unionByName(similar(more)))
-    return edges
-
-
-def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, bucket: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, fp) of each row, and (fp, root, component_id) of each fingerprint."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, bucket: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(fp, root, component_id, copies) of each distinct fingerprint, and (id, fp) of each row (not for `similarity`)."""
+    marked = None
     if similarity is None:
         marked = keep(fingerprints(docs, id_col, text_col, shingle))
+        owners = keep(marked.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("copies")))
+        found = links(owners.select("fp"), radius, bucket)
     else:
-        marked = keep(set_fingerprints(docs, id_col, text_col, shingle, similarity, common_shingles(docs, text_col, shingle)))
-    owners = keep(marked.groupBy("fp").agg(F.min("id").alias("low")))
-    found = links(owners.select("fp"), radius, bucket) if similarity is None else similar_links(docs, marked, owners, id_col, text_col, shingle, similarity)
+        owners, found = similar_groups(docs, id_col, text_col, shingle, similarity)
     roots = components(found).withColumnRenamed("node", "fp")
-    lows = roots.join(owners, "fp").groupBy("root").agg(F.min("low").alias("group_low"))
-    grouped = roots.join(lows, "root").select("fp", "root", "group_low")
-    of_fp = owners.join(grouped, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("group_low", "low").alias("component_id"))
-    return marked, of_fp
+    grouped = keep(owners.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", "copies"))
+    lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size"))
+    return join_by_key(grouped, keep(lows), "root", "size").select("fp", "root", "component_id", "copies"), marked
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -454,31 +184,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     component_id is the smallest id reachable. Null and empty texts have fingerprint 0 and are linked like any other;
     rows with a null id get their group's smallest id, or null if it has none; repeated rows are each returned; an
-    empty table gives no rows; other columns are ignored. Equal fingerprints are merged before any comparison.
+    empty table gives no rows; other columns are ignored. Equal fingerprints are merged before any comparison, and the
+    rows of those with many copies are never shuffled.
     """
-    marked, of_fp = _groups(docs, id_col, text_col, shingle, radius, bucket)
-    return marked.join(of_fp, "fp", "left").select("id", "fp", "component_id")
+    of_fp, marked = _groups(docs, id_col, text_col, shingle, radius, bucket)
+    return join_by_key(marked, keep(of_fp), "fp", "copies").select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET, similarity: float | None = None) -> DataFrame:
     """The rows of `docs`, all columns, with one row of each near-duplicate group: the one with the smallest id.
 
-    Groups are those of near_groups, or with `similarity` those of similar_links: by shingle sets instead of bits.
-    Where several rows of a group share that id, or none of its ids is set, the smallest row by all columns stays.
-    Texts are shuffled once, to meet the ids that stay; fingerprints and links carry none.
+    Groups are those of near_groups, or with `similarity` those of setjoin.similar_groups: by shingle sets instead of bits.
+    Where several rows have that id, or none of the group's ids is set, the smallest row by all columns stays. Null and
+    empty texts are one group; an empty table gives no rows. Texts are shuffled once, to meet the ids that stay or, where
+    few go, not at all; fingerprints and links carry none.
     """
-    marked, of_fp = _groups(docs, id_col, text_col, shingle, radius, bucket, similarity)
+    of_fp, _ = _groups(docs, id_col, text_col, shingle, radius, bucket, similarity)
     of_fp = keep(of_fp)
-    lead = marked.join(of_fp, "fp", "left").select("id", F.expr("id <=> component_id").alias("lead"))
-    per_id = keep(lead.groupBy("id").agg(F.count("*").alias("n"), F.bool_or("lead").alias("lead")).where("lead"))
-    once = docs.join(per_id.where("n = 1 and id is not null").select(F.col("id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
-    odd = per_id.where("n > 1 or id is null").select(F.col("id").alias("_odd"))
+    lead = keep(of_fp.groupBy("root").agg(F.first("component_id").alias("id")).select("id"))
+    ids = docs.select(F.col(id_col).alias("id"))
+    many = small(ids.groupBy("id").count().where("count > 1 or id is null").select("id"))
+    odd = small(lead.join(many, lead["id"].eqNullSafe(many["id"]), "left_semi").distinct())
+    gone = small(ids.join(lead, "id", "left_anti").unionByName(odd.select("id")).distinct())
+    once = docs.join(gone.select(F.col("id").alias("_gone")), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
     if odd.isEmpty():
         return once
     row = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("id"), docs[id_col].alias("_key"), docs[text_col].alias("text"))
-    shared = row.join(odd, F.col("_key").eqNullSafe(F.col("_odd")), "left_semi")
+    shared = row.join(odd.select(F.col("id").alias("_odd")), F.col("_key").eqNullSafe(F.col("_odd")), "left_semi")
     key = f"c{docs.columns.index(id_col)}"
-    mark = fingerprints if similarity is None else set_fingerprints
-    named = mark(shared, "id", "text", shingle).join(of_fp, "fp").where(F.col(f"id.{key}").eqNullSafe(F.col("component_id")))
+    mark = fingerprints(shared, "id", "text", shingle) if similarity is None else set_fingerprints(shared, "id", "text", shingle)
+    named = mark.join(of_fp, "fp").where(F.col(f"id.{key}").eqNullSafe(F.col("component_id")))
     first = named.groupBy("root").agg(F.min("id").alias("id"))
     return once.unionByName(first.select(*[F.col(f"id.c{i}").alias(c) for i, c in enumerate(docs.columns)]))

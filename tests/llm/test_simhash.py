@@ -7,8 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barwright.llm import queries, simhash
-from barwright.llm.common import components
+from barwright.llm import queries, setjoin, simhash
+from barwright.llm.common import components, join_by_key, keep
 
 
 def brute_fingerprint(text, shingle=3):
@@ -108,6 +108,11 @@ def test_keep_one(odd_docs, clashing, how):
     assert all(i == 3 for i, t in rows if t == "")
 
 
+def set_groups(df):
+    of, _ = simhash._groups(df, "doc_id", "text", 5, 2, 1024, 0.8)
+    return {r["id"]: r["component_id"] for r in setjoin.set_fingerprints(df, "doc_id", "text", 5).join(of, "fp").collect()}
+
+
 def test_similarity_groups(spark):
     """Near copies at 0.8 or more are grouped, those well below and unrelated texts are not."""
     rng = random.Random(3)
@@ -127,29 +132,32 @@ def test_similarity_groups(spark):
         family[len(rows)] = -len(rows)
         rows.append((len(rows), " ".join(far)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    marked, of = simhash._groups(df, "doc_id", "text", 5, 2, 1024, 0.8)
-    comp = {r["id"]: r["component_id"] for r in marked.join(of, "fp").collect()}
+    comp = set_groups(df)
     wrong = [(i, j) for i, j in combinations(range(len(rows)), 2) if comp[i] == comp[j] and family[i] != family[j]]
-    lost = [i for i in comp if family[i] >= 0 and family[comp[i]] == family[i] and comp[i] != min(j for j in family if family[j] == family[i])]
-    assert not wrong and len(lost) <= 3
-
-
-def test_wide_bits_estimate_similarity():
-    rng = np.random.default_rng(1)
-    words = [f"w{x}" for x in rng.integers(0, 10**9, 600)]
-    changed = list(words)
-    for at in range(0, 600, 60):
-        changed[at] = "other"
-    a, b = (np.frombuffer(simhash.wide_fingerprint(" ".join(x), 5), np.uint64) for x in (words, changed))
-    sets = [{tuple(x[i : i + 5]) for i in range(596)} for x in (words, changed)]
-    real = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-    assert abs(np.bitwise_count(a ^ b).sum() / 1024 - simhash.bit_share(real)) < 0.04
+    lost = [i for i in comp if family[i] >= 0 and comp[i] != min(j for j in family if family[j] == family[i])]
+    assert not wrong and not lost
 
 
 def test_hot_group_of_copies(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, "the same text in very many rows").otherwise(F.concat_ws(" ", F.lit("text"), F.md5(F.col("id").cast("string")), F.sha1(F.col("id").cast("string")), F.sha2(F.col("id").cast("string"), 256))).alias("text"))
     got = simhash.near_groups(df).groupBy("component_id").count().orderBy(F.desc("count")).first()
     assert (got["component_id"], got["count"]) == (0, 1500)
+    kept = simhash.keep_one(df, shingle=5, similarity=0.8).select("doc_id").orderBy("doc_id").collect()
+    assert [r[0] for r in kept] == [0, *range(1500, 3000)]
+
+
+def test_frequent_keys_are_broadcast(spark):
+    rows = keep(spark.createDataFrame([(1 if i < 900 else i, i) for i in range(1000)], "k long, x long"))
+    by_key = keep(rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("x").alias("s")))
+    joined = join_by_key(rows, by_key, "k", "n")
+    assert sorted(joined.select("k", "x", "s").collect()) == sorted(rows.join(by_key, "k").select("k", "x", "s").collect())
+
+
+def test_components_of_stars_and_chains(spark):
+    """A hub with the largest and one with the smallest number, joined by a chain."""
+    edges = [(10_000, i) for i in range(1, 900)] + [(0, 20_000 + i) for i in range(900)] + [(20_000, 30_000), (30_000, 30_001), (30_001, 10_000)]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len({x for e in edges for x in e}) and {r["root"] for r in got} == {0}
 
 
 def brute_groups(texts, similarity=0.8):
@@ -185,8 +193,7 @@ def families(seed, n, words, changes):
 
 def found_groups(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
-    marked, of = simhash._groups(df, "doc_id", "text", 5, 2, 1024, 0.8)
-    comp = {r["id"]: r["component_id"] for r in marked.join(of, "fp").collect()}
+    comp = set_groups(df)
     return np.array([comp[i] for i in range(len(texts))])
 
 
@@ -210,3 +217,31 @@ def test_threshold_is_exact(spark):
     want = brute_groups(texts)
     assert (want[300::2] == want[301::2]).all() and (want[:300:2] != want[1:300:2]).any()
     assert (found_groups(spark, texts) == want).all()
+
+
+def test_pairs_in_one_run(spark):
+    """2,000 pairs of near copies that all share one passage, and 400 pairs of templated texts: none is lost."""
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(40)]
+    texts = []
+    for f in range(2000):
+        own = [f"w{f}x{i}" for i in range(30)]
+        texts += [" ".join(shared + own), " ".join(shared + own[:-1] + [f"c{f}"])]
+    for f in range(400):
+        base = [f"t{i}" if rng.random() < 0.95 else f"p{f}x{i}" for i in range(200)]
+        other = list(base)
+        other[rng.randrange(100)] = f"q{f}"
+        texts += [" ".join(base), " ".join(other)]
+    assert (found_groups(spark, texts) == brute_groups(texts)).all()
+
+
+def test_long_texts(spark):
+    """Sets of thousands of shingles are held apart by larger bitmaps and linked at 0.8."""
+    texts = []
+    for f in range(30):
+        base = [f"w{f}x{i}" if i % 2 else f"s{i}" for i in range(6000)]
+        near = [f"c{f}x{i}" if i < 600 else w for i, w in enumerate(base)]
+        far = [f"d{f}x{i}" if i < 900 else w for i, w in enumerate(base)]
+        texts += [" ".join(base), " ".join(near), " ".join(far)]
+    want = brute_groups(texts)
+    assert (found_groups(spark, texts) == want).all() and (want[0::3] == want[1::3]).all() and (want[0::3] != want[2::3]).any()
