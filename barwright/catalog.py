@@ -89,7 +89,7 @@ register(
     f"WITH {_RAW}, {q.BY_TYPE}, u AS (SELECT {_bar_columns} FROM whole UNION ALL SELECT {_bar_columns} FROM bars b WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.symbol = b.symbol AND w.ts = b.ts)) "
     "SELECT symbol, ts, round(open, 6) + 0.0 AS open, round(high, 6) + 0.0 AS high, round(low, 6) + 0.0 AS low, round(close, 6) + 0.0 AS close, round(coalesce(volume, 0), 6) + 0.0 AS volume FROM u",
 )
-register("candles_checkpoint", lambda s, d: candles.checkpoint(by_type(s, d)).drop("interval"), f"WITH {q.BY_TYPE} SELECT symbol, max(ts) AS last_ts, count(*) AS rows FROM bars GROUP BY 1")
+register("candles_checkpoint", lambda s, d: candles.checkpoint(by_type(s, d)).drop("interval", "updated_at"), f"WITH {q.BY_TYPE} SELECT symbol, max(ts) AS last_ts, count(*) AS rows FROM bars GROUP BY 1")
 register("candles_ingest", lambda s, d: candles.ingest(None, _raw(s, d), "seq")[1].drop("interval"), f"WITH {_RAW} SELECT symbol, count(*) AS rows, min(ts) AS start, max(ts) AS end FROM whole GROUP BY 1")
 register("candles_load", lambda s, d: rounded(candles.load(by_type(s, d), "view", "1h"), ("symbol", "ts"), _values), f"WITH {q.BY_TYPE} SELECT symbol, ts, {_plain} FROM bars WHERE symbol = 'view'")
 register(
@@ -102,52 +102,51 @@ register(
 # indicators
 
 
-def indicator(name: str, make, twin: q.Twin, columns: tuple[str, ...], bars: Query = by_type, digits: int = 6, **params) -> None:
+def indicator(name: str, make, twin: q.Twin, columns: tuple[str, ...], digits: int = 6, **params) -> None:
     """make returns the sheet's columns, in the order of the twin's `columns` (None: not shown)."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = Sheet()
         made = make(s, **params)
         made = made if isinstance(made, tuple) else (made,)
-        return rounded(s.apply(bars(spark, sf_dir)), ("symbol", "ts"), {c: m for c, m in zip(columns, made, strict=True) if c}, digits)
+        return rounded(s.apply(by_type(spark, sf_dir)), ("symbol", "ts"), {c: m for c, m in zip(columns, made, strict=True) if c}, digits)
 
     register(name, query, twin.select(*[c for c in columns if c], digits=digits))
 
 
 _t = q.Twin
-_all = lambda: q.Twin(q.ALL)
 indicator("sma_20", ta.sma, q.sma(_t(), 20), ("sma",))
 indicator("sma_1400", ta.sma, q.sma(_t(), 1400), ("sma",), n=1400)
-indicator("ema_20", ta.ema, _all().ewm("ema", "close", q.span(20), 20), ("ema",), all_events)
+indicator("ema_20", ta.ema, _t().ewm("ema", "close", q.span(20), 20), ("ema",))
 indicator("wma_20", ta.wma, q.wma(_t(), 20), ("wma",))
-indicator("macd", ta.macd, q.macd(_all()), ("line", "signal", "hist"), all_events)
+indicator("macd", ta.macd, q.macd(_t()), ("line", "signal", "hist"))
 indicator("true_range", ta.true_range, q.true_range(_t()), ("true_range",))
-indicator("atr_14", ta.atr, q.atr(_all()), ("atr",), all_events)
-indicator("adx_14", ta.adx, q.adx(_all()), ("adx", "plus", "minus"), all_events)
+indicator("atr_14", ta.atr, q.atr(_t()), ("atr",))
+indicator("adx_14", ta.adx, q.adx(_t()), ("adx", "plus", "minus"))
 indicator("aroon_25", ta.aroon, q.aroon(_t(), 25), ("up", "down", "osc"))
-indicator("parabolic_sar", ta.parabolic_sar, q.psar(_all()), ("sar",), all_events)
+indicator("parabolic_sar", ta.parabolic_sar, q.psar(_t()), ("sar",))
 indicator("ichimoku", ta.ichimoku, q.ichimoku(_t()), ("tenkan", "kijun", "cloud_a", "cloud_b"))
-indicator("supertrend", ta.supertrend, q.supertrend(_all()), ("line", "way"), all_events)
-indicator("rsi_14", ta.rsi, q.rsi(_all()), ("rsi",), all_events)
+indicator("supertrend", ta.supertrend, q.supertrend(_t()), ("line", "way"))
+indicator("rsi_14", ta.rsi, q.rsi(_t()), ("rsi",))
 indicator("stochastic", ta.stochastic, q.stochastic(_t()), ("k", "d"))
-indicator("stoch_rsi", ta.stoch_rsi, q.stoch_rsi(_all()), ("k", "slow"), all_events)
+indicator("stoch_rsi", ta.stoch_rsi, q.stoch_rsi(_t()), ("k", "slow"))
 indicator("cci_20", ta.cci, q.cci(_t()), ("cci",))
 indicator("williams_r", ta.williams_r, q.williams(_t()), ("williams",))
 indicator("roc_12", ta.roc, _t().add(roc=f"100 * ({q.ratio('close', q.lag('close', 12))} - 1)"), ("roc",))
 indicator("momentum_10", ta.momentum, _t().add(momentum=f"close - {q.lag('close', 10)}"), ("momentum",))
-indicator("tsi", ta.tsi, q.tsi(_all()), ("tsi",), all_events)
+indicator("tsi", ta.tsi, q.tsi(_t()), ("tsi",))
 indicator("bollinger", ta.bollinger, q.bollinger(_t()), ("mid", "upper", "lower", "width", "pct_b"))
-indicator("keltner", ta.keltner, q.keltner(_all()), ("mid", "upper", "lower"), all_events)
+indicator("keltner", ta.keltner, q.keltner(_t()), ("mid", "upper", "lower"))
 indicator("donchian", ta.donchian, q.donchian(_t()), ("upper", "lower", "mid"))
 indicator("fair_value_gap", ta.fair_value_gap, q.gaps(_t()), ("bull", "bear", "bull_top", "bull_bot", "bear_top", "bear_bot"))
-indicator("fair_value_gap_atr", ta.fair_value_gap, q.gaps(_all(), 0.5), ("bull", "bear", "bull_top", "bull_bot", "bear_top", "bear_bot"), all_events, least=0.5)
+indicator("fair_value_gap_atr", ta.fair_value_gap, q.gaps(_t(), 0.5), ("bull", "bear", "bull_top", "bull_bot", "bear_top", "bear_bot"), least=0.5)
 indicator("obv", ta.obv, q.obv(_t()), ("obv",))
 indicator("vwap_session", ta.vwap, q.vwap(_t()), ("vwap",))
-indicator("cmf_20", ta.cmf, q.cmf(_all()), ("cmf",), all_events)
+indicator("cmf_20", ta.cmf, q.cmf(_t()), ("cmf",))
 indicator("mfi_14", ta.mfi, q.mfi(_t()), ("mfi",))
 indicator("ad_line", ta.ad_line, q.ad_line(_t()), ("ad_line",))
-indicator("force_index", ta.force_index, q.force(_all()), ("force_index",), all_events)
-indicator("ease_of_movement", ta.ease_of_movement, q.ease(_all()), ("ease_of_movement",), all_events, 2)
+indicator("force_index", ta.force_index, q.force(_t()), ("force_index",))
+indicator("ease_of_movement", ta.ease_of_movement, q.ease(_t()), ("ease_of_movement",), digits=2)
 
 
 # votes
@@ -157,23 +156,23 @@ for _i in signals.enumerate_instances():
     _first.setdefault(_i.factory, _i)
 
 
-def votes_of(i: signals.Instance, bars: Query) -> Query:
+def votes_of(i: signals.Instance) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return signals.with_votes(bars(spark, sf_dir), [i]).select("symbol", "ts", (F.col("v0") + F.lit(0.0)).alias("vote"))
+        return signals.with_votes(by_type(spark, sf_dir), [i]).select("symbol", "ts", (F.col("v0") + F.lit(0.0)).alias("vote"))
 
     return query
 
 
 for _name, (_twin, _vote) in q.votes().items():
-    register(f"votes_{_name}", votes_of(_first[_name], by_type if _twin.ctes[0] == q.BY_TYPE else all_events), _twin.add(vote=_vote).select("vote"))
+    register(f"votes_{_name}", votes_of(_first[_name]), _twin.add(vote=_vote).select("vote"))
 
 register(
     "votes_all_sparse",
-    lambda s, d: signals.votes(all_events(s, d), signals.enumerate_instances()).groupBy("symbol", "instance_key").agg(F.sum("vote").cast("long").alias("net"), F.count(F.when(F.col("vote") != 0, 1)).alias("voted"), F.count("*").alias("bars")),
+    lambda s, d: signals.votes(by_type(s, d), signals.enumerate_instances()).groupBy("symbol", "instance_key").agg(F.sum("vote").cast("long").alias("net"), F.count(F.when(F.col("vote") != 0, 1)).alias("voted"), F.count("*").alias("bars")),
 )
 register(
     "votes_all_dense",
-    lambda s, d: signals.votes(all_events(s, d), signals.enumerate_instances(dense=True)).groupBy("symbol", "instance_key").agg(F.sum("vote").cast("long").alias("net"), F.count(F.when(F.col("vote") != 0, 1)).alias("voted"), F.count("*").alias("bars")),
+    lambda s, d: signals.votes(by_type(s, d), signals.enumerate_instances(dense=True)).groupBy("symbol", "instance_key").agg(F.sum("vote").cast("long").alias("net"), F.count(F.when(F.col("vote") != 0, 1)).alias("voted"), F.count("*").alias("bars")),
 )
 
 
@@ -204,11 +203,11 @@ for _rule, _expr in (("and", _agree), ("or", _any)):
 
 
 def adx_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = signals.with_votes(all_events(spark, sf_dir), [instance("sma_cross", fast=10, slow=50)], adx=14)
+    wide = signals.with_votes(by_type(spark, sf_dir), [instance("sma_cross", fast=10, slow=50)], adx=14)
     return wide.select("symbol", "ts", combine.combine([F.col("v0")], mode="long_short", adx=F.col("adx"), adx_min=20.0).alias("position"))
 
 
-register("combine_adx_gate", adx_gate, q.adx(q.sma(q.sma(_all(), 10, name="fast"), 50, name="slow")).add(v0=q.sign("fast - slow")).add(position="CASE WHEN adx >= 20 THEN v0 ELSE 0.0 END").select("position"))
+register("combine_adx_gate", adx_gate, q.adx(q.sma(q.sma(_t(), 10, name="fast"), 50, name="slow")).add(v0=q.sign("fast - slow")).add(position="CASE WHEN adx >= 20 THEN v0 ELSE 0.0 END").select("position"))
 
 
 # backtests
@@ -266,7 +265,7 @@ EXHAUSTIVE = search.Config(categories=("momentum",), max_combo_size=2, dense=Fal
 
 
 def found(spark: SparkSession, sf_dir: str, config: search.Config = SPARSE_2) -> DataFrame:
-    return search.search_all(all_events(spark, sf_dir), config)
+    return search.search_all(by_type(spark, sf_dir), config)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,29 +288,69 @@ def search_crosses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("search_one_strategy", search_crosses, q.metrics(q.with_halves(q.with_ppy(_cross(), "v0")), "ha", "symbol, half"))
-register("report_top", lambda s, d: report.top_strategies(results(s, d), 25, min_trades=5).drop("indicators", "detail"))
-register("report_by_return", lambda s, d: report.top_strategies(results(s, d), 25, order_by="oos_return", min_oos_trades=3, dedupe=False).drop("indicators", "detail"))
-register("report_lines", lambda s, d: report.table_lines(report.top_strategies(results(s, d), 15)))
-register("report_details", lambda s, d: report.top_strategies(results(s, d), 10).select("id", F.explode("indicators").alias("i")).select("id", "i.factory", "i.category", "i.label"))
+EACH = ("symbol",)  # a run for each symbol
+register("report_top", lambda s, d: report.top_strategies(results(s, d), 25, min_trades=5, by=EACH).drop("indicators", "detail"))
+register("report_by_return", lambda s, d: report.top_strategies(results(s, d), 25, order_by="oos_return", min_oos_trades=3, dedupe=False, by=EACH).drop("indicators", "detail"))
+register("report_lines", lambda s, d: report.table_lines(report.top_strategies(results(s, d), 15, by=EACH)))
+register("report_details", lambda s, d: report.top_strategies(results(s, d), 10, by=EACH).select("symbol", "id", F.explode("indicators").alias("i")).select("symbol", "id", "i.factory", "i.category", "i.label"))
 
 
-def status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = results(spark, sf_dir)
-    runs = rows.select(F.col("run_id").alias("id"), "symbol", "interval").distinct().withColumn("total_combos", F.lit(search.count(SPARSE_2)).cast("long"))
+def status(spark: SparkSession, sf_dir: str, config: search.Config = SPARSE_2) -> DataFrame:
+    rows = found(spark, sf_dir, config)
+    runs = rows.select(F.col("run_id").alias("id"), "symbol", "interval").distinct().withColumn("total_combos", F.lit(search.count(config)).cast("long"))
     return report.run_status(runs, rows)
 
 
-def live_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = results(spark, sf_dir)
-    runs = rows.select(F.col("run_id").alias("id"), "symbol", "interval").distinct()
-    empty = spark.createDataFrame([], selection.LIVE)
-    return selection.auto_select(empty, rows, 3, selection.Criteria(min_trades=5, min_oos_trades=2), runs)
+def live_table(spark: SparkSession, sf_dir: str, config: search.Config = SPARSE_2) -> DataFrame:
+    rows = found(spark, sf_dir, config)
+    return selection.auto_select(spark.createDataFrame([], selection.LIVE), rows, 3, selection.Criteria(min_trades=5, min_oos_trades=2))
 
 
 register("run_status", status)
 register("select_ensemble", live_table)
 register("select_newest", lambda s, d: selection.newest(live_table(s, d)))
 
+# the same over all combinations of up to three of the signals that SQL can say as windows
+
+WINDOWED = search.Config(max_combo_size=3, dense=False, signals=("price_vs_sma", "roc_sign", "momentum_sign", "bollinger_meanrev", "donchian_breakout", "obv_trend", "vwap_trend"))
+_ratios = ("score", "is_sharpe", "oos_sharpe", "oos_return", "oos_max_drawdown", "win_rate", "is_win_rate", "oos_win_rate")
+_report = ("score", "is_sharpe", "oos_sharpe", "oos_return", "oos_mdd", "win_rate", "is_win_rate", "oos_win_rate")
+_named = ("trades", "is_trades", "oos_trades", "mode", "adx_min", "combine", "strategy")
+_keys = ("symbol", "id", *_named)
+_searched = lambda: q.searched(search.Space(WINDOWED).instances, signals.CATEGORIES)
+_report_sql = f"SELECT symbol, ordinal AS id, num_trades AS trades, is_trades, oos_trades, mode, CAST(NULL AS DOUBLE) AS adx_min, rule AS combine, strategy, {q.shown(*_ratios)} FROM tp".replace("AS oos_max_drawdown", "AS oos_mdd")
+
+register("search_windowed", lambda s, d: rounded(found(s, d, WINDOWED), ("symbol", "ordinal", "signature", "num_trades"), {c: c for c in _ratios}), _searched().sql(f"SELECT symbol, ordinal, signature, num_trades, {q.shown(*_ratios)} FROM un"))
+register("report_windowed", lambda s, d: rounded(report.top_strategies(found(s, d, WINDOWED), 25, min_trades=5, by=EACH), _keys, {c: c for c in _report}), q.best(_searched(), "num_trades >= 5", 25).sql(_report_sql))
+register(
+    "report_windowed_by_return",
+    lambda s, d: rounded(report.top_strategies(found(s, d, WINDOWED), 25, order_by="oos_return", min_win_rate=0.2, min_oos_trades=3, dedupe=False, by=EACH), _keys, {c: c for c in _report}),
+    q.best(_searched(), "oos_trades >= 3 AND win_rate >= 0.2", 25, "oos_return").sql(_report_sql),
+)
+register(
+    "report_windowed_details",
+    lambda s, d: report.top_strategies(found(s, d, WINDOWED), 10, by=EACH).select("symbol", "id", F.explode("indicators").alias("i")).select("symbol", "id", "i.factory", "i.category", "i.label"),
+    q.best(_searched(), "true", 10).sql("SELECT symbol, ordinal AS id, factory, category, key AS label FROM tp JOIN ins ON ins.i IN (tp.i1, tp.i2, tp.i3)"),
+)
+_oos = ("oos_sharpe", "oos_sortino", "oos_return", "oos_max_drawdown", "oos_profit_factor", "oos_exposure")
+register(
+    "report_windowed_trades",
+    lambda s, d: rounded(
+        report.top_strategies(found(s, d, WINDOWED), 10, by=EACH).select("symbol", "id", "detail.oos.*", F.col("detail.is.total_return").alias("is_return"), F.col("detail.is.cagr").alias("is_cagr")),
+        ("symbol", "id", "trades", "wins", "losses"),
+        {"is_return": "is_return", "is_cagr": "is_cagr", "oos_sharpe": "sharpe", "oos_sortino": "sortino", "oos_return": "total_return", "oos_max_drawdown": "max_drawdown", "oos_profit_factor": "profit_factor", "oos_exposure": "exposure"},
+    ),
+    q.best(_searched(), "true", 10).sql(f"SELECT symbol, ordinal AS id, oos_trades AS trades, oos_wins AS wins, oos_trades - oos_wins AS losses, {q.shown('is_return', 'is_cagr', *_oos)} FROM tp"),
+)
+register(
+    "status_windowed",
+    lambda s, d: status(s, d, WINDOWED).select("symbol", "interval", "total_combos", "completed", F.round("pct", 6).alias("pct")),
+    _searched().sql("SELECT symbol, '1h' AS interval, CAST((SELECT count(*) FROM sp) AS BIGINT) AS total_combos, count(*) AS completed, round(100.0 * count(*) / CAST((SELECT count(*) FROM sp) AS DOUBLE), 6) AS pct FROM un GROUP BY symbol"),
+)
+_live_sql = "SELECT row_number() OVER (ORDER BY round(score, 9) DESC, ordinal, symbol) AS live_id, ordinal AS result_id, 'strategy ' || ordinal AS name, symbol, '1h' AS interval, spec_json, 'active' AS status FROM tp"
+register("select_windowed", lambda s, d: live_table(s, d, WINDOWED), q.best(_searched(), "num_trades >= 5 AND oos_trades >= 2", 3).sql(_live_sql))
+register("select_windowed_newest", lambda s, d: selection.newest(live_table(s, d, WINDOWED)), q.best(_searched(), "num_trades >= 5 AND oos_trades >= 2", 3).sql(f"{_live_sql} ORDER BY live_id DESC LIMIT 1"))
+
 
 # decisions, risk, ledger
 
@@ -376,26 +415,41 @@ register(
     lambda s, d: live.orders(_targets(s, d)).select("symbol", "ts", "delta", "action"),
     _polls().with_("tg", _TG).sql("SELECT symbol, ts, CAST(d AS INTEGER) AS delta, CASE WHEN d > 0 THEN 'BUY' WHEN d < 0 THEN 'SELL' ELSE 'HOLD' END AS action FROM (SELECT symbol, ts, target - lag(target, 1, 0) OVER (PARTITION BY symbol ORDER BY ts) AS d FROM tg)"),
 )
+
+
+def _ledger() -> q.Twin:
+    return (
+        _polls()
+        .with_("tg", _TG)
+        .with_("t_1", "SELECT *, lag(target, 1, 0) OVER (PARTITION BY symbol ORDER BY ts) AS was FROM tg")
+        .with_("t_2", "SELECT *, CASE WHEN sign(target) <> 0 AND sign(target) <> sign(was) THEN {'ts': ts, 'price': price} END AS opened FROM t_1")
+        .with_("t_3", "SELECT *, last_value(opened IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS entry FROM t_2")
+        .with_(
+            "ev",
+            "SELECT *, 'CLOSE' AS event, was AS qty FROM t_3 WHERE sign(was) <> 0 AND sign(target) <> sign(was) UNION ALL SELECT *, 'OPEN', target FROM t_3 WHERE sign(target) <> 0 AND sign(target) <> sign(was) "
+            "UNION ALL SELECT *, 'ADJUST', target FROM t_3 WHERE sign(target) = sign(was) AND target <> was",
+        )
+    )
+
+
 register(
     "trade_ledger",
     lambda s, d: live.ledger(_targets(s, d)).select("symbol", "ts", "event", "side", "quantity", "entry_ts", (F.round("move_pct", 6) + F.lit(0.0)).alias("move_pct"), "holding"),
-    _polls()
-    .with_("tg", _TG)
-    .with_("t_1", "SELECT *, lag(target, 1, 0) OVER (PARTITION BY symbol ORDER BY ts) AS was FROM tg")
-    .with_("t_2", "SELECT *, CASE WHEN sign(target) <> 0 AND sign(target) <> sign(was) THEN {'ts': ts, 'price': price} END AS opened FROM t_1")
-    .with_("t_3", "SELECT *, last_value(opened IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS entry FROM t_2")
-    .with_(
-        "ev",
-        "SELECT *, 'CLOSE' AS event, was AS qty FROM t_3 WHERE sign(was) <> 0 AND sign(target) <> sign(was) UNION ALL SELECT *, 'OPEN', target FROM t_3 WHERE sign(target) <> 0 AND sign(target) <> sign(was) "
-        "UNION ALL SELECT *, 'ADJUST', target FROM t_3 WHERE sign(target) = sign(was) AND target <> was",
-    )
+    _ledger()
     .sql(
         "SELECT symbol, ts, event, CASE WHEN qty > 0 THEN 'LONG' ELSE 'SHORT' END AS side, abs(qty) AS quantity, CASE WHEN event = 'CLOSE' THEN entry.ts END AS entry_ts, "
         "round(CASE WHEN event = 'CLOSE' THEN 100 * sign(qty) * (price / entry.price - 1) END, 6) + 0.0 AS move_pct, "
         "CASE WHEN event = 'CLOSE' THEN CAST(datediff('minute', entry.ts, ts) // 60 AS VARCHAR) || 'h' || lpad(CAST(datediff('minute', entry.ts, ts) % 60 AS VARCHAR), 2, '0') || 'm' END AS holding FROM ev"
     ),
 )
-register("ledger_lines", lambda s, d: live.ledger_lines(live.ledger(_targets(s, d))))
+register(
+    "ledger_lines",
+    lambda s, d: live.ledger_lines(live.ledger(_targets(s, d))),
+    _ledger().sql(
+        "SELECT symbol, ts, CASE WHEN event = 'OPEN' AND was <> 0 THEN 1 ELSE 0 END AS place, strftime(ts, '%Y-%m-%d %H:%M UTC') || ' (NY ' || strftime(timezone('America/New_York', timezone('UTC', ts)), '%H:%M') || ') ' || event || CASE WHEN qty > 0 THEN ' LONG ' ELSE ' SHORT ' END || abs(qty) || ' ' || symbol || ' @ ' || printf('%.2f', price) || "
+        "CASE WHEN event = 'CLOSE' THEN printf(' move %+.2f%%', 100 * sign(qty) * (price / entry.price - 1)) || ' held ' || CAST(datediff('minute', entry.ts, ts) // 60 AS VARCHAR) || 'h' || lpad(CAST(datediff('minute', entry.ts, ts) % 60 AS VARCHAR), 2, '0') || 'm' ELSE '' END AS line FROM ev"
+    ),
+)
 
 
 def queries() -> dict[str, Query]:

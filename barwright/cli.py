@@ -6,11 +6,10 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from barwright.operators import live as trading
 from barwright.operators import report
-from barwright.plans import search, selection
+from barwright.operators.live import decisions, ledger_lines, recent
+from barwright.plans import search, selection, trading
 from barwright.sources import candles
 
 
@@ -32,12 +31,6 @@ def _table(spark: SparkSession, path: str, schema: str):
         return spark.createDataFrame([], schema)
 
 
-def _replace(df, path: str) -> None:
-    """Write a small table anew: its old files are read to the end first."""
-    rows = df.collect()  # live strategies: a handful
-    df.sparkSession.createDataFrame(rows, df.schema).coalesce(1).write.mode("overwrite").parquet(path)
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="barwright")
     p.add_argument("--data", default="barwright-data", help="folder of all tables")
@@ -52,26 +45,44 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--max-combo-size", type=int, choices=range(1, 7), default=4)
     a.add_argument("--adx-filters", type=_floats, default=(None,))
     a.add_argument("--sparse", action="store_true")
-    a.add_argument("--dry-run", action="store_true")
+    a.add_argument("--dry-run", action="store_true", help="print how many strategies there are and about how long they take")
+    a.add_argument("--max-combos", type=int)
+    a.add_argument("--rate", type=float, default=RATE, help="strategies a second, for the estimate")
     a.add_argument("--symbol")
     sub.add_parser("status", help="runs and how far they are")
-    for name in ("report", "auto-select"):
+    for name in ("report", "auto-select", "live-run"):
         a = sub.add_parser(name)
-        a.add_argument("--run-id")
-        a.add_argument("--top", type=int, default=15 if name == "report" else 1)
+        a.add_argument("--run-id", help="the latest run unless given")
+        a.add_argument("--top", "--strategies", type=int, default=15 if name == "report" else 1)
         a.add_argument("--order-by", choices=report.ORDERS, default="score")
         a.add_argument("--min-win-rate", type=float, default=0.0)
         a.add_argument("--min-trades", type=int, default=0 if name == "report" else 20)
         a.add_argument("--min-oos-trades", type=int, default=0 if name == "report" else 10)
         a.add_argument("--no-dedupe", action="store_true")
+    a.add_argument("--auto", action="store_true", help="select strategies anew each day")
+    a.add_argument("--combine", choices=("priority", "net"), default="priority")
+    a.add_argument("--poll-seconds", type=float, default=900)
+    a.add_argument("--once", action="store_true")
+    a.add_argument("--ignore-market-hours", action="store_true")
+    a.add_argument("--reselect-on-flat", action=argparse.BooleanOptionalAction)
+    a.add_argument("--lookback-days", type=int)
     a = sub.add_parser("promote", help="make one result the live strategy")
-    a.add_argument("--result-id", type=int, required=True)
-    a.add_argument("--run-id")
+    a.add_argument("--result-id", type=int, required=True, help="its ordinal in the run")
+    a.add_argument("--run-id", help="the latest run unless given")
     a.add_argument("--name")
     sub.add_parser("live-signal", help="the newest live strategy's decision on the last bar")
+    sub.add_parser("ledger", help="the trades of all polls")
     return p
 
 
+#: Strategies a second that the dry run's estimate takes; measured on eight cores.
+RATE = 6000.0
+
+
+def criteria_of(args) -> selection.Criteria:
+    return selection.Criteria(args.min_win_rate, args.min_trades, args.min_oos_trades, args.order_by, args.run_id)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     data = args.data
@@ -79,7 +90,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "optimize":
         config = search.Config(max_combo_size=args.max_combo_size, adx_filters=args.adx_filters, dense=not args.sparse)
         if args.dry_run:
-            print(search.count(config))
+            total = search.count(config) if args.max_combos is None else min(search.count(config), args.max_combos)
+            print(f"{total:,} strategies a series, about {total / args.rate / 60:,.1f} minutes at {args.rate:,.0f} a second")
             return 0
     spark = _session()
     live = lambda: _table(spark, f"{data}/live", selection.LIVE)
@@ -100,35 +112,42 @@ def main(argv: list[str] | None = None) -> int:
         summary.show(truncate=False)
         return 0
     if args.command == "optimize":
-        print(*search.run_search(spark, candles.load(spark.read.parquet(f"{data}/candles"), args.symbol), config, f"{data}/search", restart=args.restart), sep="\n")
+        print(*search.run_search(spark, candles.load(spark.read.parquet(f"{data}/candles"), args.symbol), config, f"{data}/search", restart=args.restart, most_combos=args.max_combos), sep="\n")
+        return 0
+    if args.command == "live-run":
+        again = args.auto if args.reselect_on_flat is None else args.reselect_on_flat
+        session = trading.Session(spark, data, rule=args.combine, days=args.lookback_days, auto=args.auto, criteria=criteria_of(args), strategies=args.top, reselect_on_flat=again)
+        session.run(args.poll_seconds, args.once, not args.ignore_market_hours)
+        return 0
+    if args.command == "ledger":
+        print(*(r["line"] for r in ledger_lines(trading.ledger(trading.Session(spark, data).polls())).orderBy("ts", "symbol", "place").collect()), sep="\n")
         return 0
-    results = search.results(spark, f"{data}/search")
+    results, runs = search.results(spark, f"{data}/search"), search.runs(spark, f"{data}/search")
     if args.command == "status":
-        runs = spark.read.parquet(f"{data}/search/runs").withColumnRenamed("run_id", "id")
-        report.run_status(runs, results).select("id", "symbol", "interval", "completed", "total_combos", "pct").show(truncate=False)
+        report.list_runs(report.run_status(runs, results)).select("id", "symbol", "interval", "status", "completed_combos", "total_combos", "completed", "pct", "started_at", "finished_at").show(truncate=False)
         return 0
-    if getattr(args, "run_id", None):
-        results = results.where(F.col("run_id") == args.run_id)
     if args.command == "report":
-        top = report.top_strategies(results, args.top, order_by=args.order_by, min_win_rate=args.min_win_rate, min_trades=args.min_trades, min_oos_trades=args.min_oos_trades, dedupe=not args.no_dedupe)
+        rows = report.of_run(results, runs, args.run_id)
+        top = report.top_strategies(rows, args.top, order_by=args.order_by, min_win_rate=args.min_win_rate, min_trades=args.min_trades, min_oos_trades=args.min_oos_trades, dedupe=not args.no_dedupe)
         print(*(r["line"] for r in report.table_lines(top).collect()), sep="\n")
         return 0
     if args.command == "auto-select":
-        chosen = selection.select_top(results, args.top, selection.Criteria(args.min_win_rate, args.min_trades, args.min_oos_trades, args.order_by, args.run_id))
+        chosen = selection.select_top(results, args.top, criteria_of(args), runs)
         if chosen.isEmpty():
             print("no strategy qualifies", file=sys.stderr)
             return 1
-        _replace(selection.promote(live(), chosen), f"{data}/live")
+        trading.replace(selection.promote(live(), chosen, runs), f"{data}/live")
         return 0
     if args.command == "promote":
-        _replace(selection.promote(live(), results.where(F.col("ordinal") == args.result_id).limit(1), name=args.name), f"{data}/live")
+        run_id = args.run_id or (report.latest_run(runs).first() or {"id": ""})["id"]
+        trading.replace(selection.promote(live(), selection.of_result(results, args.result_id, run_id), runs, name=args.name), f"{data}/live")
         return 0
     row = selection.newest(live()).first()
     if row is None:
         print("no live strategy", file=sys.stderr)
         return 1
     bars = candles.load(spark.read.parquet(f"{data}/candles"), row["symbol"], row["interval"])
-    trading.decisions(search.spec_positions(bars, search.Spec.from_json(row["spec_json"]))).show(truncate=False)
+    decisions(search.spec_positions(recent(bars), search.Spec.from_json(row["spec_json"]))).show(truncate=False)
     return 0
 
 

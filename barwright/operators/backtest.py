@@ -11,6 +11,8 @@ COST_BPS = 5.0
 TRAIN = 0.7
 YEAR_S = 365.25 * 86400
 LOSS_FLOOR = -0.999999
+#: A trade whose log return is above this wins; smaller ones are rounding.
+WIN = 1e-12
 METRICS = ("total_return", "cagr", "ann_vol", "sharpe", "sortino", "max_drawdown", "calmar", "win_rate", "trade_win_rate", "trade_wins", "trade_count", "profit_factor", "exposure", "num_trades", "n_bars")
 COUNTS = ("trade_wins", "trade_count", "num_trades", "n_bars")
 
@@ -72,7 +74,7 @@ def metrics(df: DataFrame, by: tuple[str, ...], ppy: str = "ppy") -> DataFrame:
         F.avg(active.cast("double")).alias("exposure"),
     )
     trade = df.where(active).groupBy(*by, "seg").agg(F.sum(F.log1p(F.greatest("r", F.lit(LOSS_FLOOR)))).alias("log_return"))
-    trades = trade.groupBy(*by).agg(F.sum((F.col("log_return") > 0).cast("long")).alias("trade_wins"), F.count("*").alias("trade_count"))
+    trades = trade.groupBy(*by).agg(F.sum((F.col("log_return") > WIN).cast("long")).alias("trade_wins"), F.count("*").alias("trade_count"))
     both = bars.join(trades, list(by), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("trade_wins", "trade_count")})
     year, final = F.sqrt("ppy"), F.col("final")
     cagr = F.when(final > 0, F.expm1(F.ln(F.when(final > 0, final)) * F.col("ppy") / F.col("n_bars")))

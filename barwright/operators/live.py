@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.indicators import NEW_YORK
+from barwright.sources.candles import lookback
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,51 @@ def decisions(positions: DataFrame) -> DataFrame:
     return rows.where("n = 1").select("symbol", "interval", F.col("ts").alias("as_of"), F.col("position").cast("int").alias("target"), label(F.col("position")).alias("side"), (F.col("position") != F.col("earlier")).alias("changed"), F.col("close").alias("price"), "bars")
 
 
+#: Decisions look back so many days at least, for the slow averages.
+LEAST_DAYS = 60
+
+
+def recent(candles: DataFrame, days: int | None = None) -> DataFrame:
+    """The bars that a decision is made from: the last `days` days of each series, at least LEAST_DAYS; None: all."""
+    return candles if days is None else lookback(candles, max(days, LEAST_DAYS))
+
+
+def sleeves(decided: DataFrame, risk: Risk) -> DataFrame:
+    """Decisions with live_id as (symbol, live_id, name, label, signal, as_of, price, quantity): what each strategy asks for."""
+    quantity = sleeve_quantity(F.col("target"), risk.order_qty, risk.allow_short, risk.kill_switch)
+    return decided.select("symbol", "live_id", "name", "label", F.col("side").alias("signal"), "as_of", "price", quantity.alias("quantity"))
+
+
+def reconciled(asked: DataFrame, before: DataFrame, risk: Risk, rule: str = "priority") -> DataFrame:
+    """One poll: (symbol, owner, net_target, target, risk, prev_position, delta, action, price, label, sleeves) of each symbol.
+
+    `asked` are sleeves(), `before` is (symbol, owner, position) after the poll before, with owner a live_id. By priority
+    the owner keeps the trade while its quantity is not 0, then the first strategy by id that fires takes it; by `net`
+    the quantities are added. price and label are the owner's, or without one the first sleeve's price.
+    """
+    if rule not in ("priority", "net"):
+        raise ValueError("the rule must be priority or net")
+    row = F.struct("live_id", "name", "label", "signal", "as_of", "price", "quantity")
+    rows = asked.groupBy("symbol").agg(F.array_sort(F.collect_list(row)).alias("sleeves"))  # the active strategies of a symbol: a handful
+    rows = rows.join(before.select("symbol", F.col("owner").alias("_owner"), F.col("position").alias("prev_position")), "symbol", "left").withColumn("prev_position", F.coalesce("prev_position", F.lit(0)))
+    firing = F.filter("sleeves", lambda s: s["quantity"] != 0)
+    held = F.get(F.filter(firing, lambda s: s["live_id"] == F.col("_owner")), F.lit(0))
+    chosen = F.coalesce(held, F.get(firing, F.lit(0))) if rule == "priority" else F.lit(None).cast("struct<live_id: bigint, name: string, label: string, signal: string, as_of: timestamp, price: double, quantity: int>")
+    net = F.aggregate("sleeves", F.lit(0), lambda total, s: total + s["quantity"])
+    rows = rows.withColumn("c", chosen).withColumn("wanted", F.coalesce(F.col("c.quantity"), F.lit(0)) if rule == "priority" else net)
+    why = clamp_reason(F.col("wanted"), risk.max_position)
+    if rule == "priority":
+        took = F.when(F.col("c.live_id") == F.col("_owner"), "ok").otherwise(F.concat(F.col("c.name"), F.lit(" took the trade")))
+        why = F.when(F.col("c").isNull(), "no strategy firing").when(why != "ok", why).otherwise(took)
+    rows = rows.withColumn("target", clamp(F.col("wanted"), risk.max_position)).withColumn("delta", (F.col("target") - F.col("prev_position")).cast("int"))
+    action = F.when(F.col("delta") > 0, "BUY").when(F.col("delta") < 0, "SELL").otherwise("HOLD")
+    price = F.coalesce(F.col("c.price"), F.get("sleeves", F.lit(0))["price"])
+    return rows.select(
+        "symbol", F.col("c.live_id").alias("owner"), (F.col("wanted") if rule == "net" else F.lit(None).cast("int")).alias("net_target"), "target", why.alias("risk"),
+        "prev_position", "delta", action.alias("action"), price.alias("price"), F.coalesce("c.label", "c.name").alias("label"), "sleeves",
+    )
+
+
 def combine_net(polls: DataFrame, max_position: int) -> DataFrame:
     """Sum of the sleeves' quantities at each poll(ts, symbol, live_id, quantity), within the limit; no sleeve owns it."""
     net = polls.groupBy("symbol", "ts").agg(F.sum("quantity").cast("int").alias("net"))
@@ -98,7 +144,7 @@ def ledger(targets: DataFrame) -> DataFrame:
     """(symbol, ts, event, side, quantity, price, entry_ts, entry_price, move_pct, holding) of targets(symbol, ts, target, price).
 
     OPEN from flat, CLOSE to flat, a flip is CLOSE and OPEN, ADJUST another size on the same side. A CLOSE has the entry
-    it ends, the signed move since, and the time held as 2h05m.
+    it ends, the signed move since, and the time held as 2h05m. A column `label` in targets, what took the trade, is kept.
     """
     w = Window.partitionBy("symbol").orderBy("ts")
     rows = targets.withColumn("earlier", F.lag("target", 1, 0).over(w))
@@ -109,19 +155,21 @@ def ledger(targets: DataFrame) -> DataFrame:
     rows = rows.withColumn("entry", F.last(entry, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     row = lambda name, quantity: F.struct(F.lit(name).alias("event"), quantity.cast("int").alias("quantity"))
     events = F.filter(F.array(F.when(closes, row("CLOSE", F.col("earlier"))), F.when(opens, row("OPEN", F.col("target"))), F.when(adjusts, row("ADJUST", F.col("target")))), lambda x: x.isNotNull())
-    rows = rows.select("symbol", "ts", "price", "entry", F.posexplode(events).alias("place", "e"))
+    labels = [c for c in ("label",) if c in targets.columns]
+    rows = rows.select("symbol", "ts", "price", *labels, "entry", F.posexplode(events).alias("place", "e"))
     shut = F.col("e.event") == "CLOSE"
     move = F.when(shut, 100.0 * F.signum("e.quantity") * (F.col("price") / F.nullif("entry.price", F.lit(0.0)) - 1.0))
     minutes = F.floor((F.unix_micros("ts") - F.unix_micros("entry.ts")) / 60e6)
     held = F.when(shut, F.format_string("%dh%02dm", F.floor(minutes / 60), minutes % 60))
-    return rows.select("symbol", "ts", "place", F.col("e.event").alias("event"), label(F.col("e.quantity")).alias("side"), F.abs("e.quantity").alias("quantity"), "price", F.when(shut, F.col("entry.ts")).alias("entry_ts"), F.when(shut, F.col("entry.price")).alias("entry_price"), move.alias("move_pct"), held.alias("holding"))
+    return rows.select("symbol", "ts", "place", F.col("e.event").alias("event"), label(F.col("e.quantity")).alias("side"), F.abs("e.quantity").alias("quantity"), "price", F.when(shut, F.col("entry.ts")).alias("entry_ts"), F.when(shut, F.col("entry.price")).alias("entry_price"), move.alias("move_pct"), held.alias("holding"), *labels)
 
 
 def ledger_lines(entries: DataFrame) -> DataFrame:
     """One line of text per ledger entry, with the times in UTC and New York."""
     at = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm 'UTC'"), F.lit(" (NY "), F.date_format(F.from_utc_timestamp("ts", NEW_YORK), "HH:mm"), F.lit(")"))
+    by = F.coalesce(F.concat(F.lit(" by "), F.col("label")), F.lit("")) if "label" in entries.columns else F.lit("")
     tail = F.when(F.col("event") == "CLOSE", F.concat(F.lit(" move "), F.format_string("%+.2f%%", "move_pct"), F.lit(" held "), F.col("holding"))).otherwise("")
-    return entries.select("symbol", "ts", "place", F.concat(at, F.format_string(" %s %s %d %s @ %.2f", "event", "side", "quantity", "symbol", "price"), tail).alias("line"))
+    return entries.select("symbol", "ts", "place", F.concat(at, F.format_string(" %s %s %d %s @ %.2f", "event", "side", "quantity", "symbol", "price"), by, tail).alias("line"))
 
 
 def spec_label(instances: Column, mode: Column, combine: Column) -> Column:

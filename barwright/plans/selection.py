@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.operators.report import ranked
+from barwright.operators.report import DIGITS, of_run, ranked
 
 LIVE = "live_id long, result_id long, name string, symbol string, interval string, spec_json string, status string"
 DEFAULT_SYMBOL, DEFAULT_INTERVAL = "SPY", "1h"
@@ -22,14 +22,23 @@ class Criteria:
     run_id: str | None = None
 
 
-def select_top(results: DataFrame, n: int = 1, criteria: Criteria = Criteria()) -> DataFrame:
-    """The best n results of a run (all runs given: of those), clones left out; fewer if fewer qualify."""
-    rows = results.where(F.col("run_id") == criteria.run_id) if criteria.run_id is not None else results
-    return ranked(rows, n, criteria.order_by, criteria.min_win_rate, criteria.min_trades, criteria.min_oos_trades)
+def select_top(results: DataFrame, n: int = 1, criteria: Criteria = Criteria(), runs: DataFrame | None = None) -> DataFrame:
+    """The best n results of a run, clones left out; fewer if fewer qualify.
+
+    The run is the criteria's, else the latest of `runs`; without either, the best n of each run.
+    """
+    by = ("run_id",) if criteria.run_id is None and runs is None else ()
+    rows = results if by else of_run(results, runs, criteria.run_id)
+    return ranked(rows, n, criteria.order_by, criteria.min_win_rate, criteria.min_trades, criteria.min_oos_trades, by=by)
+
+
+def select_best(results: DataFrame, criteria: Criteria = Criteria(), runs: DataFrame | None = None) -> DataFrame:
+    return select_top(results, 1, criteria, runs)
 
 
-def select_best(results: DataFrame, criteria: Criteria = Criteria()) -> DataFrame:
-    return select_top(results, 1, criteria)
+def of_result(results: DataFrame, ordinal: int, run_id: str) -> DataFrame:
+    """The result that a run and an ordinal name; every run has the same ordinals."""
+    return results.where((F.col("run_id") == run_id) & (F.col("ordinal") == ordinal))
 
 
 def deactivate_all(live: DataFrame) -> DataFrame:
@@ -49,14 +58,14 @@ def promote(live: DataFrame, chosen: DataFrame, runs: DataFrame | None = None, n
         rows = rows.drop("symbol", "interval").join(runs.select(F.col("id").alias("run_id"), "symbol", "interval"), "run_id", "left")
     for column, default in (("symbol", DEFAULT_SYMBOL), ("interval", DEFAULT_INTERVAL)):
         rows = rows.withColumn(column, F.coalesce(F.col(column), F.lit(default)) if column in rows.columns else F.lit(default))
-    order = F.row_number().over(Window.orderBy(F.desc("score"), "ordinal"))  # as many rows as were chosen
+    order = F.row_number().over(Window.orderBy(F.desc(F.round("score", DIGITS)), "ordinal", "symbol", "interval"))  # as many rows as were chosen
     added = rows.select((F.lit(last) + order).cast("long").alias("live_id"), F.col("ordinal").alias("result_id"), (F.lit(name) if name else F.concat(F.lit("strategy "), F.col("ordinal"))).alias("name"), "symbol", "interval", "spec_json", F.lit("active").alias("status"))
     return (deactivate_all(live) if exclusive else live).unionByName(added)
 
 
 def auto_select(live: DataFrame, results: DataFrame, n: int = 1, criteria: Criteria = Criteria(), runs: DataFrame | None = None) -> DataFrame:
-    """The best n results as the only active strategies; if none qualifies, the table as it is."""
-    chosen = select_top(results, n, criteria)
+    """The best n results, as select_top has them, as the only active strategies; if none qualifies, the table as it is."""
+    chosen = select_top(results, n, criteria, runs)
     return live if chosen.isEmpty() else promote(live, chosen, runs)
 
 

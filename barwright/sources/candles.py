@@ -80,8 +80,8 @@ def write(df: DataFrame, path: str) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Last bar and number of rows of each series."""
-    return df.groupBy("symbol", "interval").agg(F.max("ts").alias("last_ts"), F.count("*").alias("rows"))
+    """CHECKPOINTS: last bar and number of rows of each series, as of now."""
+    return df.groupBy("symbol", "interval").agg(F.max("ts").alias("last_ts"), F.count("*").alias("rows")).withColumn("updated_at", F.current_timestamp())
 
 
 def ingest(stored: DataFrame | None, arriving: DataFrame, sequence: str | None = None, days: int | None = None) -> tuple[DataFrame, DataFrame]:

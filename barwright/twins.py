@@ -5,15 +5,15 @@ from __future__ import annotations
 SERIES = "PARTITION BY symbol ORDER BY ts"
 
 
-def hourly(symbol: str = "event_type") -> str:
-    return f"""bars AS (
-  SELECT {symbol} AS symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(1000 + value, ts) AS open, max(1000 + value) AS high, min(1000 + value) AS low,
+def hourly() -> str:
+    return """bars AS (
+  SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(1000 + value, ts) AS open, max(1000 + value) AS high, min(1000 + value) AS low,
          arg_max(1000 + value, ts) AS close, CAST(sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS DOUBLE) AS volume
   FROM events GROUP BY 1, 2
 )"""
 
 
-BY_TYPE, ALL = hourly(), hourly("'ALL'")
+BY_TYPE = hourly()
 
 
 def w(n: int) -> str:
@@ -276,42 +276,42 @@ def votes() -> dict[str, tuple[Twin, str]]:
     def cross(make) -> tuple[Twin, str]:
         return make, sign("fast - slow")
 
-    t = lambda bars=ALL: Twin(bars)
+    t = Twin
     before = lambda x: x.add(top=lag("upper"), bottom=lag("lower"))
     beyond = held_regime("close > top", "close < bottom")
     return {
         "ema_cross": cross(t().ewm("fast", "close", span(10), 10).ewm("slow", "close", span(50), 50)),
-        "sma_cross": cross(sma(sma(t(BY_TYPE), 10, name="fast"), 50, name="slow")),
-        "wma_cross": (wma(wma(t(BY_TYPE), 10).add(fast="wma"), 50).add(slow="wma_1"), sign("fast - slow")),
+        "sma_cross": cross(sma(sma(t(), 10, name="fast"), 50, name="slow")),
+        "wma_cross": (wma(wma(t(), 10).add(fast="wma"), 50).add(slow="wma_1"), sign("fast - slow")),
         "macd_cross": (macd(t()), sign("line - signal")),
-        "price_vs_sma": (sma(t(BY_TYPE), 50), sign("close - sma")),
+        "price_vs_sma": (sma(t(), 50), sign("close - sma")),
         "adx_di": (adx(t()), sign("plus - minus")),
         "supertrend_dir": (supertrend(t(), 10, 2.0), "way"),
-        "aroon_dir": (aroon(t(BY_TYPE), 14), sign("up - down")),
+        "aroon_dir": (aroon(t(), 14), sign("up - down")),
         "psar_dir": (psar(t()), sign("close - sar")),
         "ichimoku_dir": (
-            ichimoku(t(BY_TYPE)),
+            ichimoku(t()),
             "CASE WHEN close > greatest(cloud_a, cloud_b) AND tenkan > kijun THEN 1.0 WHEN close < least(cloud_a, cloud_b) AND tenkan < kijun THEN -1.0 ELSE 0.0 END",
         ),
         "rsi_meanrev": (rsi(t()), held_long("rsi < 25", "rsi > 60")),
         "rsi_trend": (rsi(t()), sign("rsi - 50")),
-        "stoch_meanrev": (stochastic(t(BY_TYPE)), held_long("k < 20", "k > 80")),
-        "cci_sign": (cci(t(BY_TYPE)), sign("cci")),
-        "williams_meanrev": (williams(t(BY_TYPE)), held_long("williams < -80", "williams > -20")),
-        "roc_sign": (t(BY_TYPE).add(roc=f"100 * ({ratio('close', lag('close', 12))} - 1)"), sign("roc")),
+        "stoch_meanrev": (stochastic(t()), held_long("k < 20", "k > 80")),
+        "cci_sign": (cci(t()), sign("cci")),
+        "williams_meanrev": (williams(t()), held_long("williams < -80", "williams > -20")),
+        "roc_sign": (t().add(roc=f"100 * ({ratio('close', lag('close', 12))} - 1)"), sign("roc")),
         "stochrsi_meanrev": (stoch_rsi(t()), held_long("k < 20", "k > 80")),
         "tsi_sign": (tsi(t()), sign("tsi")),
-        "momentum_sign": (t(BY_TYPE).add(m=f"close - {lag('close', 10)}"), sign("m")),
-        "bollinger_meanrev": (bollinger(t(BY_TYPE)), held_long("close < lower", "close > mid")),
-        "bollinger_breakout": (before(bollinger(t(BY_TYPE))), beyond),
+        "momentum_sign": (t().add(m=f"close - {lag('close', 10)}"), sign("m")),
+        "bollinger_meanrev": (bollinger(t()), held_long("close < lower", "close > mid")),
+        "bollinger_breakout": (before(bollinger(t())), beyond),
         "keltner_breakout": (before(keltner(t())), beyond),
-        "donchian_breakout": (before(donchian(t(BY_TYPE))), held_regime("close >= top", "close <= bottom")),
-        "fvg_dir": (gaps(t(BY_TYPE)), held_regime("bull > 0", "bear > 0")),
-        "fvg_meanrev": (gaps(t(BY_TYPE)), held_long("close >= bull_bot AND close <= bull_top", "close > bull_top")),
-        "obv_trend": (obv(t(BY_TYPE)).add(mean=roll("avg", "obv", 20)), sign("obv - mean")),
+        "donchian_breakout": (before(donchian(t())), held_regime("close >= top", "close <= bottom")),
+        "fvg_dir": (gaps(t()), held_regime("bull > 0", "bear > 0")),
+        "fvg_meanrev": (gaps(t()), held_long("close >= bull_bot AND close <= bull_top", "close > bull_top")),
+        "obv_trend": (obv(t()).add(mean=roll("avg", "obv", 20)), sign("obv - mean")),
         "cmf_sign": (cmf(t()), sign("cmf")),
         "mfi_meanrev": (mfi(t()), held_long("mfi < 20", "mfi > 80")),
-        "vwap_trend": (vwap(t(BY_TYPE)), sign("close - vwap")),
+        "vwap_trend": (vwap(t()), sign("close - vwap")),
         "ad_trend": (ad_line(t()).add(mean=roll("avg", "ad_line", 20)), sign("ad_line - mean")),
         "force_index_sign": (force(t()), sign("force_index")),
         "eom_sign": (ease(t()), sign("ease_of_movement")),
@@ -331,7 +331,7 @@ def metrics(t: Twin, source: str, by: str, cost_bps: float = 5.0, digits: int =
     t.with_("m3", f"SELECT *, held * asset - abs(step) * CAST({cost_bps / 1e4!r} AS DOUBLE) AS r, sum(CASE WHEN step <> 0 THEN 1 ELSE 0 END) OVER ({p} ROWS UNBOUNDED PRECEDING) AS seg FROM m2")
     t.with_("m4", f"SELECT *, exp(sum(ln(1 + r)) OVER ({p} ROWS UNBOUNDED PRECEDING)) AS equity FROM m3")
     t.with_("m5", f"SELECT *, equity / max(equity) OVER ({p} ROWS UNBOUNDED PRECEDING) - 1 AS under FROM m4")
-    t.with_("tr", f"SELECT {by}, sum(CASE WHEN lr > 1e-15 THEN 1 ELSE 0 END) AS wins, count(*) AS trades FROM (SELECT {by}, seg, sum(ln(1 + greatest(r, -0.999999))) AS lr FROM m5 WHERE held <> 0 GROUP BY {by}, seg) GROUP BY {by}")
+    t.with_("tr", f"SELECT {by}, sum(CASE WHEN lr > 1e-12 THEN 1 ELSE 0 END) AS wins, count(*) AS trades FROM (SELECT {by}, seg, sum(ln(1 + greatest(r, -0.999999))) AS lr FROM m5 WHERE held <> 0 GROUP BY {by}, seg) GROUP BY {by}")
     t.with_("ag", f"""SELECT {by}, count(*) AS n_bars, sum(abs(r)) AS moved, arg_max(equity, ts) AS final, any_value(ppy) AS ppy, avg(r) AS mean, stddev_pop(r) AS off,
       stddev_pop(r) FILTER (r < 0) AS off_down, min(under) AS mdd, sum(CASE WHEN step <> 0 THEN 1 ELSE 0 END) AS changes,
       avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) FILTER (held <> 0) AS hit, sum(r) FILTER (held <> 0 AND r > 0) AS gain, -sum(r) FILTER (held <> 0 AND r < 0) AS loss,
@@ -367,3 +367,80 @@ def with_ppy(t: Twin, position: str) -> Twin:
 def with_halves(t: Twin) -> Twin:
     row, n = "row_number() OVER (PARTITION BY symbol ORDER BY ts)", "count(*) OVER (PARTITION BY symbol)"
     return t.with_("ha", f"SELECT *, CASE WHEN {row} <= floor({n} * CAST(0.7 AS DOUBLE)) THEN 'is' ELSE 'oos' END AS half FROM po")
+
+
+# search, reports and selection over a small space of signals that are windows alone
+
+
+def windowed(instances: list) -> Twin:
+    """Base table b of all bars with their votes v0, v1, ... of instances, half and bars a year."""
+    t, votes = Twin(), {}
+    for k, i in enumerate(instances):
+        p = dict(i.params)
+        if i.factory == "price_vs_sma":
+            sma(t, p["period"], name=f"s{k}")
+            votes[f"v{k}"] = sign(f"close - s{k}")
+        elif i.factory == "roc_sign":
+            votes[f"v{k}"] = sign(f"100 * ({ratio('close', lag('close', p['period']))} - 1)")
+        elif i.factory == "momentum_sign":
+            votes[f"v{k}"] = sign(f"close - {lag('close', p['period'])}")
+        elif i.factory == "donchian_breakout":
+            t.add(**{f"hi{k}": roll("max", "high", p["period"]), f"lo{k}": roll("min", "low", p["period"])})
+            t.add(**{f"top{k}": lag(f"hi{k}"), f"bot{k}": lag(f"lo{k}")})
+            votes[f"v{k}"] = held_regime(f"close >= top{k}", f"close <= bot{k}")
+        elif i.factory == "bollinger_meanrev":
+            t.add(**{f"mid{k}": roll("avg", "close", p["period"]), f"off{k}": roll("stddev_pop", "close", p["period"])})
+            votes[f"v{k}"] = held_long(f"close < mid{k} - {p['num_std']} * off{k}", f"close > mid{k}")
+        elif i.factory == "obv_trend":
+            obv(t).add(**{f"mean{k}": roll("avg", "obv", p["period"])})
+            votes[f"v{k}"] = sign(f"obv - mean{k}")
+        elif i.factory == "vwap_trend":
+            vwap(t)
+            votes[f"v{k}"] = sign("close - vwap")
+        else:
+            raise ValueError(i.factory)
+    t.add(**votes)
+    with_halves(with_ppy(t, "0.0"))
+    columns = ", ".join(votes)
+    return t.with_("b", f"SELECT h.symbol, h.ts, h.close, h.half, h.ppy, {columns} FROM ha h JOIN {t.at} v ON h.symbol = v.symbol AND h.ts = v.ts")
+
+
+def searched(instances: list, categories: tuple[str, ...], cost_bps: float = 5.0) -> Twin:
+    """re: the results of all combinations of up to three instances of different categories, both modes and rules; un: without clones."""
+    import json
+
+    t = windowed(instances)
+    rows = ", ".join(f"({k}, {categories.index(i.category)}, '{i.category}', '{i.factory}', '{i.key}', '{json.dumps({'factory': i.factory, 'params': dict(i.params)})}')" for k, i in enumerate(instances))
+    t.with_("ins(i, c, category, factory, key, js)", f"SELECT * FROM (VALUES {rows}) AS x(i, c, category, factory, key, js)")
+    numbers, values = ", ".join(str(k) for k in range(len(instances))), ", ".join(f"v{k}" for k in range(len(instances)))
+    t.with_("vo", f"SELECT symbol, ts, unnest([{numbers}]) AS i, unnest([{values}]) AS v FROM b")
+    t.with_("co", """SELECT 1 AS k, 0 AS c1, -1 AS c2, -1 AS c3, i AS i1, -1 AS i2, -1 AS i3 FROM ins
+      UNION ALL SELECT 2, x.c, y.c, -1, x.i, y.i, -1 FROM ins x JOIN ins y ON x.c < y.c
+      UNION ALL SELECT 3, x.c, y.c, z.c, x.i, y.i, z.i FROM ins x JOIN ins y ON x.c < y.c JOIN ins z ON y.c < z.c""")
+    t.with_("sp", """SELECT row_number() OVER (ORDER BY k, c1, c2, c3, i1, i2, i3, m, r) - 1 AS ordinal, k, i1, i2, i3, CASE m WHEN 0 THEN 'long_only' ELSE 'long_short' END AS mode, CASE r WHEN 0 THEN 'and' ELSE 'or' END AS rule
+      FROM co, (VALUES (0), (1)) AS x(m), (VALUES (0), (1)) AS y(r) WHERE k > 1 OR r = 0""")
+    t.with_("named", """SELECT sp.*, array_to_string(list_sort([a.key, e.key, f.key]), '|') || '#mode=' || mode || '#adxNone#' || rule AS signature,
+      concat_ws(', ', a.key, e.key, f.key) AS strategy,
+      '{"instances": [' || concat_ws(', ', a.js, e.js, f.js) || '], "mode": "' || mode || '", "adx_min": null, "combine": "' || rule || '"}' AS spec_json
+      FROM sp JOIN ins a ON sp.i1 = a.i LEFT JOIN ins e ON sp.i2 = e.i LEFT JOIN ins f ON sp.i3 = f.i""")
+    t.with_("hl", """SELECT b.symbol, b.ts, b.close, b.half, b.ppy, sp.ordinal, mode, rule, greatest(a.v, e.v, f.v) AS hi, least(a.v, e.v, f.v) AS lo
+      FROM sp JOIN vo a ON a.i = sp.i1 JOIN b ON b.symbol = a.symbol AND b.ts = a.ts LEFT JOIN vo e ON e.i = sp.i2 AND e.symbol = a.symbol AND e.ts = a.ts LEFT JOIN vo f ON f.i = sp.i3 AND f.symbol = a.symbol AND f.ts = a.ts""")
+    t.with_("bo", "SELECT *, CASE WHEN rule = 'and' THEN CASE WHEN lo = 1 THEN 1.0 WHEN hi = -1 THEN -1.0 ELSE 0.0 END WHEN hi = 1 AND lo > -1 THEN 1.0 WHEN lo = -1 AND hi < 1 THEN -1.0 ELSE 0.0 END AS way FROM hl")
+    t.with_("ps", "SELECT symbol, ts, close, half, ppy, ordinal, CASE WHEN mode = 'long_only' THEN greatest(way, 0.0) ELSE way END AS position FROM bo")
+    metrics(t, "ps", "symbol, ordinal, half", cost_bps, 12, finish=False)
+    t.with_("re", """SELECT i.symbol, i.ordinal, least(i.sharpe, o.sharpe) AS score, i.sharpe AS is_sharpe, o.sharpe AS oos_sharpe, o.total_return AS oos_return, o.max_drawdown AS oos_max_drawdown, i.num_trades + o.num_trades AS num_trades,
+      coalesce((i.trade_wins + o.trade_wins) / nullif(CAST(i.trade_count + o.trade_count AS DOUBLE), 0), 0) AS win_rate, i.trade_win_rate AS is_win_rate, o.trade_win_rate AS oos_win_rate, i.trade_count AS is_trades, o.trade_count AS oos_trades,
+      o.trade_wins AS oos_wins, o.sortino AS oos_sortino, o.profit_factor AS oos_profit_factor, o.exposure AS oos_exposure, i.total_return AS is_return, i.cagr AS is_cagr
+      FROM me i JOIN me o ON i.symbol = o.symbol AND i.ordinal = o.ordinal AND i.half = 'is' AND o.half = 'oos'""")
+    same = "symbol, round(is_sharpe, 4) + 0.0, round(oos_sharpe, 4) + 0.0, round(oos_return, 6) + 0.0, round(oos_max_drawdown, 6) + 0.0, num_trades, round(win_rate, 6)"
+    t.with_("un", f"SELECT re.*, named.* EXCLUDE (ordinal) FROM re JOIN named USING (ordinal) QUALIFY row_number() OVER (PARTITION BY {same} ORDER BY ordinal) = 1")
+    return t
+
+
+def best(t: Twin, where: str, n: int, by: str = "score") -> Twin:
+    """tp: the n best of each symbol."""
+    return t.with_("tp", f"SELECT * FROM un WHERE {where} QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round({by}, 9) DESC, ordinal) <= {n}")
+
+
+def shown(*columns: str, digits: int = 6) -> str:
+    return ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in columns)

@@ -1,11 +1,17 @@
 """Market hours, risk, combination, ledger, candles and streaming."""
 
+from datetime import UTC, datetime
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barwright.operators import live
+from barwright import cli
+from barwright.operators import live, report
+from barwright.plans import search, selection, trading
 from barwright.sources import candles
 from barwright.streaming import jobs
+from tests.conftest import made_bars
 
 
 @pytest.mark.parametrize(
@@ -114,3 +120,88 @@ def test_candle_files(spark, bars, tmp_path):
     bars.drop("close").write.parquet(str(tmp_path / "q"))
     with pytest.raises(ValueError, match="close"):
         candles.read(spark, str(tmp_path / "q"))
+
+
+def test_ledger_keeps_what_took_the_trade(spark):
+    rows = targets(spark, (0, 10, 100.0), (2, 0, 105.0)).withColumn("label", F.when(F.col("target") != 0, "rsi(n=2) [long_only,and]"))
+    lines = [r["line"] for r in live.ledger_lines(live.ledger(rows)).orderBy("ts").collect()]
+    assert lines[0].endswith("@ 100.00 by rsi(n=2) [long_only,and]") and lines[1].endswith("@ 105.00 move +5.00% held 2h00m")
+
+
+def asked(spark, *quantities):
+    rows = [("X", k + 1, f"s{k + 1}", f"l{k + 1}", "LONG", "2024-01-01 00:00:00", 100.0 + k, q) for k, q in enumerate(quantities)]
+    df = spark.createDataFrame(rows, "symbol string, live_id long, name string, label string, signal string, as_of string, price double, quantity int")
+    return df.withColumn("as_of", F.col("as_of").cast("timestamp"))
+
+
+@pytest.mark.parametrize(
+    ("quantities", "owner", "position", "rule", "want"),
+    [
+        ((0, 5), None, 0, "priority", (2, None, 5, "s2 took the trade", 0, "BUY", 101.0)),
+        ((10, 5), 2, 5, "priority", (2, None, 5, "ok", 5, "HOLD", 101.0)),  # sticky
+        ((10, -5), 2, 5, "priority", (2, None, -5, "ok", 5, "SELL", 101.0)),  # of the other sign too
+        ((30, 0), 2, 5, "priority", (1, None, 12, "capped", 5, "BUY", 100.0)),
+        ((0, 0), 1, 10, "priority", (None, None, 0, "no strategy firing", 10, "SELL", 100.0)),
+        ((10, -4), None, 0, "net", (None, 6, 6, "ok", 0, "BUY", 100.0)),
+        ((10, 10), None, -3, "net", (None, 20, 12, "capped", -3, "BUY", 100.0)),
+    ],
+)
+def test_reconciled(spark, quantities, owner, position, rule, want):
+    before = spark.createDataFrame([("X", owner, position)], "symbol string, owner long, position int")
+    r = live.reconciled(asked(spark, *quantities), before, live.Risk(max_position=12), rule).first()
+    assert (r["owner"], r["net_target"], r["target"], r["risk"], r["prev_position"], r["action"], r["price"]) == want
+    assert r["delta"] == r["target"] - r["prev_position"] and len(r["sleeves"]) == len(quantities)
+
+
+def test_decisions_look_back_sixty_days_at_least(spark):
+    rows = spark.range(100).select(F.lit("X").alias("symbol"), F.lit("1d").alias("interval"), F.timestamp_seconds(F.col("id") * 86400).alias("ts"), F.lit(1.0).alias("close"))
+    assert [live.recent(rows, d).count() for d in (None, 7, 80)] == [100, 61, 81]
+
+
+@pytest.fixture()
+def market(spark, tmp_path):
+    """Candles of two symbols, and a search over them."""
+    path = str(tmp_path)
+    bars = spark.createDataFrame(pd.concat([made_bars(5, 300, "A"), made_bars(6, 300, "B")]), candles.SCHEMA)
+    candles.write(bars, f"{path}/candles")
+    search.run_search(spark, bars, search.Config(categories=("volume",), max_combo_size=2, dense=False, cross_category_only=False), f"{path}/search")
+    return path, bars
+
+
+def test_polls(spark, market):
+    path, bars = market
+    session = trading.Session(spark, path, live.Risk(max_position=10), auto=True, criteria=selection.Criteria(min_trades=1, min_oos_trades=1), strategies=3, reselect_on_flat=True)
+    at = lambda day, hour: datetime(2024, 1, day, hour, tzinfo=UTC)
+    made = [session.step(at(1, 15)).collect(), session.step(at(1, 16)).collect()]
+    live_now = session.live().where("status = 'active'").collect()
+    assert len(live_now) == 3 and len({r["symbol"] for r in live_now}) == 1  # of the latest run
+    for rows in made:
+        (r,) = rows
+        assert len(r["sleeves"]) == 3 and abs(r["target"]) <= 10
+        spec = search.Spec.from_json(live_now[0]["spec_json"])
+        last = search.spec_positions(bars.where(F.col("symbol") == r["symbol"]), spec).orderBy(F.desc("ts")).first()
+        assert [s["quantity"] for s in r["sleeves"] if s["live_id"] == live_now[0]["live_id"]] == [int(10 * last["position"])]
+    assert made[1][0]["prev_position"] == made[0][0]["target"]  # the state is what the polls before say
+    session.step(at(2, 15))
+    assert session.live().count() == 6  # selected anew on another day
+    assert session.polls().count() == 3 and trading.ledger(session.polls()).count() == (made[0][0]["target"] != 0)
+    none = trading.Session(spark, path, auto=True, criteria=selection.Criteria(min_trades=10**6))
+    assert none.step(at(3, 15)) is None and session.polls().count() == 3
+    with pytest.raises(ValueError, match="no live strategy"):
+        trading.decide(bars, session.live().where("false"))
+
+
+def test_command_line(spark, market, capsys):
+    path, _ = market
+    run = lambda *args: (cli.main(["--data", path, *args]), capsys.readouterr().out)
+    code, out = run("optimize", "--dry-run", "--sparse", "--max-combo-size", "2")
+    assert code == 0 and out.startswith("6,110 strategies")
+    code, out = run("report", "--top", "3")
+    assert code == 0 and len(out.splitlines()) == 3
+    latest = report.latest_run(search.runs(spark, f"{path}/search")).first()
+    assert run("promote", "--result-id", "0")[0] == 0
+    row = selection.newest(trading.Session(spark, path).live()).first()
+    assert (row["result_id"], row["symbol"]) == (0, latest["symbol"])
+    assert run("auto-select", "--top", "2", "--min-trades", "1", "--min-oos-trades", "1")[0] == 0
+    assert run("live-run", "--once")[0] == 0 and trading.Session(spark, path).polls().count() == 1
+    assert run("status")[0] == 0 and run("ledger")[0] == 0 and run("live-signal")[0] == 0

@@ -1,9 +1,9 @@
 """Votes, combinations, enumeration, backtests and search."""
 
-import json
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +11,8 @@ from barwright.functions import signals
 from barwright.operators import backtest as bt
 from barwright.operators import report
 from barwright.plans import search, selection
+from barwright.sources.candles import SCHEMA
+from tests.conftest import made_bars
 
 SMALL = search.Config(max_combo_size=2, dense=False)
 
@@ -92,11 +94,11 @@ def test_matrix_agrees_with_windows(bars):
     """The search's evaluator and the relational backtest give the same metrics."""
     config = replace(SMALL, adx_filters=(None, 25.0))
     space = search.Space(config)
-    series = search._unpacked(search.prepare(bars, config).first())
+    series = search._unpacked(search.prepare(bars, config).first().asDict())
     for ordinal in (0, 3, 160, 291, 300, 5001, 9002, 12001):
         spec = dict(space.specs(np.array([ordinal])))[ordinal]
-        row = next(search.evaluate(space, series, np.array([ordinal]))).iloc[0]
-        got = json.loads(row["metrics_json"])
+        row = next(search.evaluate(space, series, np.array([ordinal]))).to_pylist()[0]
+        got = {"is": row["train"], "oos": row["test"]}
         for r in bt.split_backtest(search.spec_positions(bars, spec)).collect():
             for m in bt.METRICS:
                 assert got[r["half"]][m] == pytest.approx(r[m], rel=1e-8, abs=1e-10), (spec.signature, r["half"], m)
@@ -120,9 +122,13 @@ def test_search_report_and_selection(spark, bars, tmp_path):
     assert [r["score"] for r in top] == sorted((r["score"] for r in top), reverse=True) and len(top) == 10
     shaped = report.top_strategies(stored, 5, min_oos_trades=2).collect()
     assert all(r["oos_trades"] >= 2 and r["strategy"] for r in shaped)
-    runs = spark.read.parquet(f"{path}/runs").withColumnRenamed("run_id", "id")
+    for r in stored.limit(50).collect():
+        spec = search.Spec.from_json(r["spec_json"])
+        assert spec == dict(search.Space(config).specs(np.array([r["ordinal"]])))[r["ordinal"]] and r["signature"] == spec.signature
+    runs = search.runs(spark, path)
     status = report.run_status(runs, stored).first()
-    assert status["completed"] == stored.count() and status["total_combos"] == total
+    assert status["completed"] == stored.count() and status["total_combos"] == status["completed_combos"] == total
+    assert status["status"] == "completed" and status["finished_at"] >= status["started_at"]
 
     empty = spark.createDataFrame([], selection.LIVE)
     some = selection.Criteria(min_trades=1, min_oos_trades=1)
@@ -131,7 +137,8 @@ def test_search_report_and_selection(spark, bars, tmp_path):
     again = selection.auto_select(live, stored, 1, some, runs)
     assert again.where("status = 'active'").count() == 1 and again.count() == 4
     none = selection.Criteria(min_trades=10**6)
-    assert selection.auto_select(live, stored, 3, none).where("status = 'active'").count() == 3  # nothing qualifies: nothing changes
+    assert selection.of_result(stored, 3, "other").isEmpty() and selection.of_result(stored, stored.first()["ordinal"], run).count() == 1
+    assert selection.auto_select(live, stored, 3, none, runs).where("status = 'active'").count() == 3  # nothing qualifies: nothing changes
     assert selection.newest(live).first()["live_id"] == 3
     with pytest.raises(ValueError, match="no such result"):
         selection.promote(live, stored.where("ordinal < 0"))
@@ -149,3 +156,33 @@ def test_insert_or_ignore(spark):
     stored = spark.createDataFrame([("r", 1, "a", "k1")], s)
     new = spark.createDataFrame([("r", 2, "b", "k1"), ("r", 3, "a", "k3"), ("r", 5, "d", "k5"), ("r", 4, "c", "k5")], s)
     assert [r["ordinal"] for r in search.insert_or_ignore(stored, new).collect()] == [4]
+
+
+def test_runs_stop_restart_and_follow_each_other(spark, tmp_path):
+    path, two = str(tmp_path), pd.concat([made_bars(3, 200, "A"), made_bars(4, 200, "B")])
+    bars = spark.createDataFrame(two, SCHEMA)
+    config = replace(SMALL, categories=("volume",), max_combo_size=1)
+    first = search.run_search(spark, bars, config, path, chunk=5, most_chunks=1)
+    assert len(first) == 2 and {(r["status"], r["completed_combos"], r["finished_at"]) for r in search.runs(spark, path).collect()} == {("running", 5, None)}
+    began = {r["id"]: r["started_at"] for r in search.runs(spark, path).collect()}
+    search.run_search(spark, bars, config, path, chunk=5)
+    done = search.runs(spark, path).collect()
+    assert {r["status"] for r in done} == {"completed"} and {r["id"]: r["started_at"] for r in done} == began
+    (later,) = search.run_search(spark, bars.where("symbol = 'A'"), replace(config, cost_bps=9.0), path)
+    assert report.latest_run(search.runs(spark, path)).first()["id"] == later  # by time, whatever its id
+    stored = search.results(spark, path)
+    assert {r["run_id"] for r in report.of_run(stored, search.runs(spark, path)).select("run_id").collect()} == {later}
+    some = selection.Criteria(min_trades=0, min_oos_trades=0)
+    assert {r["run_id"] for r in selection.select_top(stored, 2, some, search.runs(spark, path)).collect()} == {later}
+    assert selection.select_top(stored, 2, some).groupBy("run_id").count().where("count = 2").count() == 3  # of each run
+    search.run_search(spark, bars, config, path, chunk=4, most_chunks=1, restart=True)
+    again = {r["id"]: r["completed_combos"] for r in search.runs(spark, path).collect()}
+    assert again == {first[0]: 4, first[1]: 4, later: search.count(config)}
+    assert search.results(spark, path).where(F.col("run_id").isin(first)).select(F.max("ordinal")).first()[0] < 4
+
+
+def test_small_and_large_votes_give_the_same(bars, monkeypatch):
+    config = replace(SMALL, categories=("volume",))
+    want = sorted(search.search_all(bars, config).collect())
+    monkeypatch.setattr(search, "MOST_BROADCAST", 0)
+    assert sorted(search.search_all(bars, config).collect()) == want
