@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm.common import keep
 from barwright.llm.tokens import LOWER, PUNCT, Words, flat, slices
 
 FOLDS = 5
@@ -88,32 +89,42 @@ class Classifier:
     prior: float
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Which features are found in a larger share of positives than of unlabelled texts, beyond chance. Equal texts count once."""
-    shares = []
-    for docs in (positive, unlabelled):
-        docs = list({d.tobytes(): d for d in docs}.values())
-        shares.append((np.bincount(np.concatenate(docs), minlength=1 << BITS), len(docs)))
-    (p, n_p), (u, n_u) = shares
-    both = (p + u + 1) / (n_p + n_u + 2)
-    apart = (p / n_p - u / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
-    return (apart >= LEAST_Z) & (p / n_p >= LEAST_RATIO * u / n_u)
+class Shares:
+    """In how many positives and how many unlabelled texts each feature is found; equal texts count once."""
+
+    def __init__(self):
+        self.counts = np.zeros((2, 1 << BITS), np.int32)
+        self.seen: tuple[set, set] = (set(), set())
+
+    def add(self, toxic: int, features: np.ndarray) -> None:
+        name = xxhash.xxh64_intdigest(features.tobytes())
+        if name not in self.seen[toxic]:
+            self.seen[toxic].add(name)
+            self.counts[toxic, features] += 1
+
+    def telling(self) -> np.ndarray:
+        """Which features are found in a larger share of positives than of unlabelled texts, beyond chance."""
+        (u, p), (n_u, n_p) = self.counts, map(len, self.seen)
+        if not n_u or not n_p:
+            return np.zeros(1 << BITS, bool)
+        both = (p + u + 1) / (n_p + n_u + 2)
+        apart = (p / n_p - u / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
+        return (apart >= LEAST_Z) & (p / n_p >= LEAST_RATIO * u / n_u)
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS, seed: int = 1) -> Classifier:
     """Minimise prior * E+[loss(+)] + max(0, Eu[loss(-)] - prior * E+[loss(-)]) for a linear model, by Adam over mini-batches.
 
-    loss is the sigmoid one, which is flat for texts that are told clearly, so those near the boundary decide. Where the corrected risk of the negatives is below zero in a batch, that part stops at zero
-    and gives no gradient, so the model can't gain by a risk that no classifier has. Without positives or unlabelled
-    texts the prior alone is the model.
+    Each text is an array of its telling features. loss is the sigmoid one, which is flat for texts that are told
+    clearly, so those near the boundary decide. Where the corrected risk of the negatives is below zero in a batch, that
+    part stops at zero and gives no gradient, so the model can't gain by a risk that no classifier has. Without positives
+    or unlabelled texts the prior alone is the model.
     """
     prior = float(np.clip(prior, 1e-3, 0.9))
     size = 1 << BITS
     bias = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return Classifier(np.zeros(size), bias, prior)
-    used = telling(positive, unlabelled)
-    positive, unlabelled = ([d[used[d]] for d in docs] for docs in (positive, unlabelled))
     rng = np.random.default_rng(seed)
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     b, bm, bv, step = bias, 0.0, 0.0, 0
@@ -167,7 +178,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Positives are documents with label 1; the unlabelled ones are drawn from all documents of those folds, whatever
     their label says, so that the prior holds among them. The class prior is the share of label 1 among all labels of those folds. An id with both labels
-    is toxic; null labels and null ids are no labels. Documents are drawn by the smallest hashes of their ids.
+    is toxic; null labels and null ids are no labels. Documents are drawn by the smallest hashes of their ids; of rows
+    with one id all count, and equal texts count once in the choice of features. Empty tables, or no positives, leave the
+    prior alone. The driver reads the drawn texts' features partition by partition and keeps the telling ones.
     """
     in_training = fold_of(F.col("id")) != 0
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null").where(in_training)
@@ -180,17 +193,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rest = first(ids.distinct(), most_unlabelled)
     chosen = positive.withColumn("toxic", F.lit(1)).unionByName(rest.withColumn("toxic", F.lit(0)))  # at most both bounds in rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("toxic", "text")
-    sets: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for r in texts.mapInArrow(_feature_sets, "toxic int, features binary").orderBy("toxic", F.xxhash64("features")).toLocalIterator():
-        sets[r["toxic"]].append(np.frombuffer(r["features"], "<i4"))
-    return fit(sets[1], sets[0], prior)
+    sets = keep(texts.mapInArrow(_feature_sets, "toxic int, features binary").orderBy("toxic", F.xxhash64("features")))
+    shares = Shares()
+    for r in sets.toLocalIterator():  # a partition at a time
+        shares.add(r["toxic"], np.frombuffer(r["features"], "<i4"))
+    used, told = shares.telling(), ([], [])
+    for r in sets.toLocalIterator():
+        features = np.frombuffer(r["features"], "<i4")
+        told[r["toxic"]].append(features[used[features]])
+    return fit(told[1], told[0], prior)
 
 
 def scored(docs: DataFrame, model: Classifier, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs`, all columns, with the score of each text: the model's probability that it is toxic.
 
-    A null or empty text has no features and gets the model's score for that. An existing column named `score_col` is
-    replaced. Labels, languages, sources and ids are no inputs.
+    A null or empty text has no features and gets the model's score for that; repeated rows are each scored, an empty
+    table gives no rows. An existing column named `score_col` is replaced. Labels, languages, sources and ids are no inputs.
     """
     docs = docs.drop(score_col)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
