@@ -10,9 +10,6 @@ from barwright.llm.common import keep
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
-#: Cells of a source's shuffled order, and of virtual time. Sums of cells give the totals before each cell.
-HEX = 3
-TICKS = 4096
 
 
 def word_count(text: F.Column) -> F.Column:
@@ -44,6 +41,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return named.withColumn("target", F.least(cap, F.lit(rate) * F.col("weight")))
 
 
+def _sorted(rows: DataFrame, *order: F.Column) -> DataFrame:
+    """Kept rows in ranges of the order, with the range's number as `p`. The last key must tell all rows apart."""
+    return keep(rows.repartitionByRange(*order).withColumn("p", F.spark_partition_id()))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **how) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) for each row: how often the mix takes a document.
 
@@ -52,40 +54,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     that time and taken while the words up to and with them are within the budget, the sum of targets. Copies are taken
     whole; one with no words costs nothing. taken is copies times size, at most `repeats` times size.
 
-    Both running sums are taken in cells: sums by cell (a small table) give the words before each cell, and a window
-    within the cell gives the rest, so no source and no stretch of time is gathered in one task.
+    Both orders are global range sorts: sums of ranges, a small table, give the words before each range, and a window
+    within a range gives the rest. Ranges are as many as shuffle partitions and nearly equal in rows, whatever the sources,
+    ids and times, so no source and no stretch of time is gathered in one task.
 
     Null texts and texts without words have size 0; a null source is a source; rows with null ids stand in an order by
     size; rows that agree in id, source and size are interchangeable. An empty table gives no rows.
     """
     repeats = how.get("repeats", REPEATS)
     text = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(text).alias("h")))
-    plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), **how)
-    keyed = rows.withColumn("cell", F.substring("h", 1, HEX)).withColumn("n", F.monotonically_increasing_id())
-
-    cells = keyed.groupBy("source", "cell").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("source", "cell", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("start"))
-    starts = starts.join(plan, starts["source"].eqNullSafe(plan["source"])).select(starts["source"].alias("c_source"), F.col("cell").alias("c_cell"), "start", "source_size", "target")
-    inner = Window.partitionBy("source", "cell").orderBy("h", "id", "size", "n").rowsBetween(Window.unboundedPreceding, 0)
-    run = keyed.withColumn("within", F.sum("size").over(inner))
-    placed = run.join(starts, run["source"].eqNullSafe(starts["c_source"]) & (run["cell"] == starts["c_cell"])).drop("c_source", "c_cell")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.unhex(F.md5(text)).alias("h"))
+    source = F.asc_nulls_last("source")
+    ranged = _sorted(keep(rows.withColumn("n", F.monotonically_increasing_id())), source, "h", "id", "size", "n")
+    parts = keep(ranged.groupBy("source", "p").agg(F.sum("size").alias("words")))
+    plan = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), **how)
+
+    upto = Window.partitionBy("source").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("source", "p", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("start"))  # at most a row for each range and each source
+    starts = starts.join(plan, starts["source"].eqNullSafe(plan["source"])).select(starts["source"].alias("s_source"), F.col("p").alias("s_p"), "start", "source_size", "target")
+    inner = Window.partitionBy("p", "source").orderBy("h", "id", "size", "n").rowsBetween(Window.unboundedPreceding, 0)
+    run = ranged.withColumn("within", F.sum("size").over(inner))
+    placed = run.join(starts, (run["p"] == starts["s_p"]) & run["source"].eqNullSafe(starts["s_source"]))
     placed = keep(placed.select("n", "id", "source", "size", "h", "source_size", "target", (F.col("start") + F.col("within")).alias("upto")))
 
-    copies = placed.where("size > 0").select("n", "source", "size", "h", "target", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("copy"), "upto", "source_size")
+    copies = placed.where("size > 0").select("n", "source", "size", "h", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("copy"), "upto", "source_size", "target")
     time = (F.col("upto") + F.col("copy") * F.col("source_size")) / F.col("target")
-    # Time 1 is where every source meets its target; what ends past 2 can't be within the budget.
-    timed = copies.withColumn("time", time).withColumn("tick", F.least(F.floor(F.col("time") * TICKS / 2), F.lit(2 * TICKS)).cast("long"))
-    ticks = timed.groupBy("tick").agg(F.sum("size").alias("words"))  # at most 2 x TICKS + 1 rows
-    ahead = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
-    ticks = ticks.select("tick", "words", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("before"))
+    order = (F.col("time").asc(), source, F.col("h").asc(), F.col("copy").asc(), F.col("n").asc())
+    queue = _sorted(copies.select("n", "source", "size", "h", "copy", time.alias("time")), *order)
+    ahead = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = queue.groupBy("p").agg(F.sum("size").alias("words"))
+    sums = sums.select("p", "words", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("before"))  # a row for each range
     budget = plan.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     budget = round(budget + 1e-6, 3)
-    # Ticks that are within the budget as a whole are taken; only the one that crosses it needs its rows in order.
-    marked = timed.join(F.broadcast(ticks), "tick")
+    # Ranges that are within the budget as a whole are taken; only the one that crosses it needs its rows in order.
+    marked = queue.join(F.broadcast(sums), "p")
     whole = marked.where(F.col("before") + F.col("words") <= budget).select("n")
-    ordered = Window.partitionBy("tick").orderBy("time", F.asc_nulls_last("source"), "h", "copy", "n").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy("p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     cut = marked.where((F.col("before") < budget) & (F.col("before") + F.col("words") > budget))
     cut = cut.withColumn("at", F.col("before") + F.sum("size").over(ordered)).where(F.col("at") <= budget).select("n")
     taken = whole.unionByName(cut).groupBy("n").agg(F.count("*").alias("copies"))
