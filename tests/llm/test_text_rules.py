@@ -150,3 +150,55 @@ def test_adjacent_licence_only_texts(spark):
     got = {r["id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
     for i, t in rows:
         assert (got[i]["labels"], got[i]["score"]) == (("cc-by", 1.0) if t == text else ("", 0.0)), i
+
+
+def licence_labels(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["id"]: r for r in licences.scan(df).collect()}
+
+
+def test_whole_licence_texts(spark):
+    """Each text, commented out and re-wrapped within other words, gets its label and a span that covers it."""
+    labels = sorted(licences.TEXTS)
+    texts = ["int main(); " * 30 + "\n".join(f" * {line.strip()}" for line in licences.TEXTS[x][0].splitlines()).upper() + " return value; " * 30 for x in labels]
+    got = licence_labels(spark, texts)
+    kin = {"agpl": {"gpl"}, "lgpl": {"gpl"}}  # their notices hold most of the other's words, and its name
+    for i, label in enumerate(labels):
+        assert {label} <= set(got[i]["labels"].split(",")) <= {label} | kin.get(label, set())
+        assert got[i]["score"] == 1.0 and any(s["label"] == label and s["n_words"] == len(licences.words_of(licences.TEXTS[label][0])) for s in got[i]["spans"])
+
+
+def test_parts_of_licence_texts(spark):
+    words = licences.TEXTS["zlib"][0].split()
+    most, little, changed = words[: int(0.7 * len(words))], words[: int(0.4 * len(words))], [w if i % 20 else "altered" for i, w in enumerate(words)]
+    got = licence_labels(spark, [" ".join(x) for x in (most, little, changed)])
+    assert [got[i]["labels"] for i in range(3)] == ["zlib", "", "zlib"]
+
+
+def test_chains_against_all_predecessors():
+    """Repetitive templates and texts, whose matches have many predecessors."""
+    rng = random.Random(8)
+    for _ in range(30):
+        templates = {f"t{k}": [" ".join(rng.choice("ab") + str(rng.randrange(2)) for _ in range(60))] for k in range(2)}
+        scanner = licences.Scanner(templates, {})
+        words = [rng.randrange(len(scanner.vocabulary)) for _ in range(150)]
+        seen, found = list(scanner.automaton.stream(words)), {}
+        for i, (state, n) in enumerate(seen):
+            if n >= licences.LEAST_MATCH and (i + 1 == len(seen) or seen[i + 1][1] <= n):
+                for t, end in scanner.automaton.ends[state]:
+                    found.setdefault(t, []).append((i - n + 1, end - n + 1, n))
+        want = {}
+        for t, matches in found.items():
+            matches.sort()
+            cover = []
+            for k, (a, b, n) in enumerate(matches):
+                best = n
+                for j in range(k):
+                    e, f = matches[j][0] + matches[j][2], matches[j][1] + matches[j][2]
+                    over = max(0, e - a, f - b)
+                    if over < n and a + over - e in range(licences.MOST_GAP + 1) and b + over - f in range(licences.MOST_GAP + 1):
+                        best = max(best, cover[j] + n - over)
+                cover.append(best)
+            if max(cover) >= licences.LEAST_COVER * 60:
+                want[t] = max(cover)
+        assert {t: c for t, _, c in scanner.spans(words)} == want
