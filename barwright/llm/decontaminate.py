@@ -6,17 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.tokens import LOWER, PUNCT, flat, slices
+from barwright.llm.tokens import LEAD, LOWER, PUNCT, flat, slices
 
 Q = 8
 #: Edits allowed, as a share of a benchmark text's length. The lemma needs it below 1 / Q.
 EDITS = 0.1
 #: Shorter benchmark texts (normalised) must be found whole, without edits.
 LEAST = 40
-#: Benchmark text is searched in blocks of about so many bytes; each block is one pass over the documents.
+#: Benchmark text is searched in blocks of about so many characters; each block is one pass over the documents.
 BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 22
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -37,24 +38,32 @@ def normalise(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[kept], before[off]
 
 
-def normalised(text: str | None) -> bytes:
+def normalised(text: str | None) -> str:
     data, _ = normalise(pa.array([text or ""], pa.string()))
-    return data.tobytes().rstrip(b" ")
+    return data.tobytes().decode("utf-8", "surrogatepass").rstrip(" ")
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """The Q bytes from each place as one number."""
-    if len(data) < Q:
-        return np.zeros(0, np.uint64)
-    return np.lib.stride_tricks.as_strided(np.ascontiguousarray(data), (len(data) - Q + 1, Q), (1, 1)).copy().view("<u8").ravel()
+def _points(text: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def edit_distance(pattern: bytes, text: bytes, low: int, high: int, budget: int) -> tuple[int, int]:
+def _grams(points: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the Q characters from each place; equal hashes are verified like any candidate."""
+    n = max(len(points) - Q + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for j in range(Q):
+        out *= np.uint64(0x100000001B3)
+        out += points[j : j + n]
+    return out * _HASH
+
+
+def edit_distance(pattern: str, text: str, low: int, high: int, budget: int) -> tuple[int, int]:
     """Fewest edits between the whole pattern and a stretch of text on diagonals low - budget to high + budget, and its end.
 
     (budget + 1, -1) if no alignment in that band is within budget.
     """
-    a, b = np.frombuffer(pattern, np.uint8), np.frombuffer(text, np.uint8)
+    a, b = _points(pattern), _points(text)
     first, width = low - budget, high - low + 2 * budget + 1
     far = budget + 1
     # Column j of the band in row i stands for text place i + first + j.
@@ -80,13 +89,13 @@ def edit_distance(pattern: bytes, text: bytes, low: int, high: int, budget: int)
 class Index:
     """Q-grams of a block of benchmark texts."""
 
-    def __init__(self, ids: list, texts: list[bytes], edits: float = EDITS):
+    def __init__(self, ids: list, texts: list[str], edits: float = EDITS):
         self.ids, self.texts = ids, texts
         size = np.array([len(t) for t in texts], np.int64)
         self.budget = np.where(size >= LEAST, (size * edits).astype(np.int64), 0)
         self.need = np.maximum(size + 1 - Q * (self.budget + 1), 1)
         self.band = self.budget + 1
-        grams = [_grams(np.frombuffer(t, np.uint8)) for t in texts]
+        grams = [_grams(_points(t)) for t in texts]
         value = np.concatenate([*grams, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
         place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
@@ -95,13 +104,13 @@ class Index:
         self.value, self.first = np.unique(value[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(value)))
         self.seen = np.zeros(1 << _TABLE_BITS, bool)
-        self.seen[self.value * _HASH >> np.uint64(64 - _TABLE_BITS)] = True
+        self.seen[self.value >> np.uint64(64 - _TABLE_BITS)] = True
         self.short = [k for k in range(len(texts)) if 0 < size[k] < Q]
 
-    def candidates(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def candidates(self, points: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, lowest and highest start) of the bands that hold as many common q-grams as the lemma asks for."""
-        grams = _grams(data)
-        at = np.flatnonzero(self.seen[grams * _HASH >> np.uint64(64 - _TABLE_BITS)])
+        grams = _grams(points)
+        at = np.flatnonzero(self.seen[grams >> np.uint64(64 - _TABLE_BITS)])
         value = grams[at]
         slot = np.minimum(np.searchsorted(self.value, value), max(len(self.value) - 1, 0))
         ok = self.value[slot] == value if len(self.value) else np.zeros(0, bool)
@@ -119,9 +128,15 @@ class Index:
         shift = max(map(len, self.texts)) + 1
         apart = off[:-1] + shift * np.arange(1, len(off))
         cell = (np.repeat(at + shift * (row + 1), n) - place) // self.band[item]
-        top = (len(data) + shift * (len(off) + 1)) + 1
-        key = np.sort((item * top + cell) * shift + place)
-        key = key[np.concatenate(([True], key[1:] != key[:-1]))] // shift
+        top = (len(points) + shift * (len(off) + 1)) + 1
+        key = item * top + cell
+        if len(self.texts) * top * shift < 1 << 62:
+            both = np.sort(key * shift + place)
+            key = both[np.concatenate(([True], both[1:] != both[:-1]))] // shift
+        else:  # too large for one number
+            order = np.lexsort((place, key))
+            key, place = key[order], place[order]
+            key = key[np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])))]
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         count = np.diff(np.append(begin, len(key)))
         key = key[begin]
@@ -142,9 +157,10 @@ class Index:
     def search(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, start band's low end, end, edits): the best alignment within budget of each row and item, if any."""
         data, off = normalise(column)
+        whole = data.tobytes().decode("utf-8", "surrogatepass")
+        off = np.concatenate(([0], np.cumsum(LEAD[data])))[off]  # from bytes to characters
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        whole = data.tobytes()
-        for row, item, low, high in self.candidates(data, off):
+        for row, item, low, high in self.candidates(_points(whole), off):
             text = whole[off[row] : off[row + 1]]
             pattern, budget = self.texts[item], int(self.budget[item])
             held = best.get((row, item))
@@ -165,28 +181,33 @@ class Index:
             yield row, item, low, end, edits
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str, edits: float, block_bytes: int) -> Iterator[Index]:
-    """Indexes of blocks of benchmark texts, in order of their ids; equal normalised texts are searched once each."""
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, edits: float, block_bytes: int) -> Iterator[Broadcast]:
+    """Indexes of blocks of benchmark texts, in order of their ids, each broadcast: the driver holds one block at a time."""
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([normalised(t) for t in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
+
+    send = benchmark.sparkSession.sparkContext.broadcast
+    kind = benchmark.schema[item_col].dataType.simpleString()
     ids, texts, size = [], [], 0
-    for r in benchmark.select(item_col, text_col).orderBy(item_col, text_col).toLocalIterator():
-        text = normalised(r[1])
-        if not text:
-            continue
+    rows = benchmark.select(F.col(item_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(plain, f"id {kind}, text string")
+    for r in rows.where("text <> ''").orderBy("id", "text").toLocalIterator():
         ids.append(r[0])
-        texts.append(text)
-        size += len(text)
+        texts.append(r[1])
+        size += len(r[1])
         if size >= block_bytes:
-            yield Index(ids, texts, edits)
+            yield send(Index(ids, texts, edits))
             ids, texts, size = [], [], 0
     if ids:
-        yield Index(ids, texts, edits)
+        yield send(Index(ids, texts, edits))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item_id, n_edits, item_chars, found_end) for each row of `docs` and each benchmark text that it holds.
 
     Texts are compared in lower case (A-Z), with every run of ASCII characters other than letters and digits as one
-    space; lengths and edits are in bytes of UTF-8. A benchmark text of length m counts as held if some stretch of the
+    space; lengths, q-grams and edits are of characters. A benchmark text of length m counts as held if some stretch of the
     document is within e = edits x m edits of it; one shorter than 40 must be held exactly. Such a stretch shares at
     least m + 1 - q(e + 1) q-grams with it, on diagonals at most e apart, so every pair of neighbouring cells of e + 1
     diagonals is counted, the pairs that reach the bound are kept, and each is verified by an alignment in that band.
@@ -194,7 +215,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Null and empty texts hold nothing; benchmark texts without letters or digits are skipped; repeated rows and null ids
     are searched as they are; an empty table on either side gives no rows; other columns are ignored. The benchmark is
-    searched in blocks of about `block_bytes`, each shipped to the executors as one index and a pass over the documents.
+    searched in blocks of about `block_bytes` characters, each broadcast as one index and a pass over the documents.
     """
     kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, id_col), (benchmark, item_col)))
     shape = f"id {kind}, item_id {item_kind}, n_edits long, item_chars long, found_end long"
@@ -206,12 +227,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out if out is not None else docs.sparkSession.createDataFrame([], shape)
 
 
-def _finder(index: Index, item_type):
+def _finder(held: Broadcast, item_type):
     from pyspark.sql.pandas.types import to_arrow_type
 
     item_arrow = to_arrow_type(item_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = held.value
         for b in slices(batches, "text", 4 << 20):
             rows = list(index.search(b.column(1)))
             if rows:
@@ -222,15 +244,20 @@ def _finder(index: Index, item_type):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no benchmark text (see leaks). No row is shuffled."""
+    """The rows of `docs`, all columns, that hold no benchmark text (see leaks). No row is shuffled.
+
+    Null and empty texts hold none and stay, as do repeated rows and rows with null ids; an empty table gives no rows, an
+    empty benchmark all of them; any columns are kept as they are.
+    """
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     for index in _indexes(benchmark, item_col, item_text_col, edits, block_bytes):
         docs = docs.mapInArrow(_dropper(index, text_col), shape)
     return docs
 
 
-def _dropper(index: Index, text_col: str):
+def _dropper(held: Broadcast, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = held.value
         for b in slices(batches, text_col, 4 << 20):
             keep = np.ones(b.num_rows, bool)
             keep[[row for row, *_ in index.search(b.column(b.schema.get_field_index(text_col)))]] = False

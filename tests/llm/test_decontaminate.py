@@ -70,3 +70,33 @@ def test_odd_rows(spark, odd_docs, clashing, empty_docs):
         assert kept.columns == df.columns and kept.count() == df.count() - 5
     assert dc.leaks(empty_docs, b).count() == 0 and dc.leaks(odd_docs, b.limit(0)).count() == 0
     assert dc.clean(odd_docs, b.limit(0)).count() == odd_docs.count()
+
+
+def test_edits_count_characters(spark):
+    """Three of 40 characters beyond ASCII: within the budget as characters, whatever they take in UTF-8."""
+    item = "漢字仮名交じり文のかなり長い見本である文章をここに四十文字ほど並べて試すことにしようかな"
+    assert len(item) == 44
+    near = "".join("ß" if k in (5, 15, 25) else c for k, c in enumerate(item))
+    far = "".join("ß" if k % 8 == 3 else c for k, c in enumerate(item))
+    d = spark.createDataFrame([(1, "あいう" * 20 + near), (2, far), (3, item[:30]), (4, "x " + item)], "doc_id long, text string")
+    got = sorted((r["id"], r["n_edits"], r["item_chars"]) for r in dc.leaks(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect())
+    assert got == [(1, 3, 44), (4, 0, 44)]
+
+
+def test_large_numbers_are_sorted_by_their_parts(monkeypatch):
+    items = [f"sentence number {k} of a benchmark that asks for something rather long" for k in range(20)]
+    index = dc.Index(list(range(20)), items)
+    texts = [f"before {items[k]} after" for k in range(20)]
+    points, off = dc._points("".join(texts)), [0]
+    for t in texts:
+        off.append(off[-1] + len(t))
+    import numpy as np
+
+    want = index.candidates(points, np.array(off))
+
+    class Many(list):
+        def __len__(self):
+            return 1 << 40
+
+    index.texts = Many(index.texts)
+    assert index.candidates(points, np.array(off)) == want and want
