@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.llm.common import keep
@@ -20,23 +20,38 @@ _ROUNDS = ((52, 12), (40, 12), (28, 12), (16, 12), (4, 12), (0, 4))
 _LOW = -(1 << 63)
 
 
-def _counts(rows: DataFrame, level: int, shift: int, bits: int, starts: list[tuple]) -> dict[tuple, dict[int, tuple]]:
-    """Exact bytes and rows by probe interval, and its key where there is only one, for each interval in `starts` (unsigned keys of the levels so far)."""
+def _crossed(rows: DataFrame, level: int, shift: int, bits: int, slack: float, wanted: dict[tuple, tuple[int, list[float]]]) -> dict[tuple, list[tuple]]:
+    """For each open interval, the probe cells in which its splitters are settled or go on: (cell, bytes below, bytes, rows, key if only one).
+
+    wanted: bytes below an interval and the splitters' targets in it, by the unsigned keys of the levels so far. Bytes
+    below each probe are exact sums over all partitions; of all cells only those that a target falls on reach the driver,
+    at most one for each.
+    """
     order = lambda k: F.col(KEYS[k]).bitwiseXOR(F.lit(_LOW))  # noqa: E731  signed order as unsigned bits
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    spec = rows.sparkSession.createDataFrame([(i, *map(signed, s)) for i, s in enumerate(starts)], "at int, " + ", ".join(f"o{k} long" for k in range(level + 1)))
+    starts = sorted(wanted)
+    data = [(i, *map(signed, s), *wanted[s]) for i, s in enumerate(starts)]
+    spec = rows.sparkSession.createDataFrame(data, "at int, " + ", ".join(f"o{k} long" for k in range(level + 1)) + ", base long, wants array<double>")
     on = F.lit(True)
     for k in range(level):
         on = on & (order(k) == F.col(f"o{k}"))
     if shift + bits < 64:
         on = on & (F.shiftrightunsigned(order(level), shift + bits) == F.shiftrightunsigned(f"o{level}", shift + bits))
     whole = level == 0 and shift + bits == 64
-    inside = rows.withColumn("at", F.lit(0)) if whole else rows.join(F.broadcast(spec), on)  # a row for each open interval, at most one a part
+    inside = rows.withColumn("at", F.lit(0)) if whole else rows.join(F.broadcast(spec.drop("base", "wants")), on)  # a row for each open interval, at most one a part
     cell = F.shiftrightunsigned(order(level), shift).bitwiseAND(F.lit((1 << bits) - 1))
-    out: dict[tuple, dict[int, tuple]] = {}
     key = F.col(KEYS[level])
-    for r in inside.groupBy("at", cell.alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect():
-        out.setdefault(starts[r["at"]], {})[r["cell"]] = (r["size"], r["n"], r["low"] - _LOW if r["low"] == r["high"] else None)
+    cells = inside.groupBy("at", cell.alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+    w = Window.partitionBy("at").orderBy("cell")
+    cells = cells.withColumn("upto", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.lag("size").over(w))
+    cells = cells.join(F.broadcast(spec.select("at", "base", "wants")), "at").withColumn("below", F.col("base") + F.col("upto") - F.col("size"))
+    near, far = (lambda x, t: F.abs(x - t) <= slack), (lambda x, t: x < t - slack)
+    before = F.col("below") - F.col("last")
+    settled = lambda t: near(F.col("below"), t) & (F.col("last").isNull() | far(before, t))
+    crossed = lambda t: far(F.col("below"), t) & (F.col("below") + F.col("size") > t + slack)
+    out: dict[tuple, list[tuple]] = {}
+    for r in cells.where(F.exists("wants", lambda t: settled(t) | crossed(t))).select("at", "cell", "below", "size", "n", "low", "high").collect():
+        out.setdefault(starts[r["at"]], []).append((r["cell"], r["below"], r["size"], r["n"], r["low"] - _LOW if r["low"] == r["high"] else None))
     return out
 
 
@@ -45,7 +60,7 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list
 
     Every round counts the exact bytes below each candidate boundary, over all partitions of rows(k0, k1, k2, size),
     with up to 4096 probes in each interval that still holds a splitter. A splitter is settled once the bytes below it
-    are within `tolerance` of a part from its target, so the driver gets at most parts x 4096 sums a round. Rows with
+    are within `tolerance` of a part from its target; the driver gets at most a row for each splitter and round. Rows with
     equal k0 are cut apart only where whole k0 values can't meet the tolerance, then by k1, and last by k2.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -56,24 +71,25 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list
         for shift, bits in _ROUNDS:
             if not waiting:
                 break
-            counts = _counts(rows, level, shift, bits, sorted({lo for lo, _ in waiting.values()}))
+            wanted: dict[tuple, tuple[int, list[float]]] = {}
+            for p, (lo, at) in waiting.items():
+                wanted.setdefault(lo, (at, []))[1].append(p * total / parts)
+            found = _crossed(rows, level, shift, bits, slack, wanted)
             after, single = {}, True
             for p, (lo, at) in waiting.items():
-                want, cells, top = p * total / parts, counts.get(lo, {}), lo[-1] >> (shift + bits) << (shift + bits)
-                for cell in sorted(cells):
-                    size, n, only = cells[cell]
+                want, top = p * total / parts, lo[-1] >> (shift + bits) << (shift + bits)
+                for cell, below, size, n, only in sorted(found.get(lo, [])):
                     start, end = ((*lo[:-1], top + (c << shift)) for c in (cell, cell + 1))
-                    if abs(at - want) <= slack:
+                    if abs(below - want) <= slack:
                         done[p] = start
                         break
-                    if at + size > want + slack:
+                    if below < want and below + size > want + slack:
                         if n == 1:  # no boundary lies nearer than before or after this row
-                            done[p] = start if want - at <= at + size - want else end
+                            done[p] = start if want - below <= below + size - want else end
                         else:
-                            after[p] = (start if only is None else (*lo[:-1], only), at)
+                            after[p] = (start if only is None else (*lo[:-1], only), below)
                             single &= only is not None
                         break
-                    at += size
                 else:
                     done[p] = (*lo[:-1], top + (1 << (shift + bits)))
             waiting = after
@@ -85,20 +101,24 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list
     return sorted(pad(done[p]) if p in done else (-_LOW - 1,) * 3 for p in range(1, parts))
 
 
-def _place(cuts: list[tuple[int, int, int]], per: int, schema: pa.Schema | None = None):
-    table = np.array(cuts, np.int64).reshape(-1, 3)
+def _right_of(keys: list[np.ndarray], cuts: np.ndarray) -> np.ndarray:
+    """For each row, how many of the sorted cuts are <= its keys, the first key first."""
+    part, most = (np.searchsorted(cuts[:, 0], keys[0], side) for side in ("left", "right"))
+    if cuts.shape[1] == 1:
+        return most
+    tied = np.flatnonzero(part < most)  # on a boundary: the other keys decide
+    for first in np.unique(part[tied]):
+        rows = tied[part[tied] == first]
+        part[rows] = first + _right_of([k[rows] for k in keys[1:]], cuts[first : most[rows[0]], 1:])
+    return part
+
 
-    def part_of(batch: pa.RecordBatch) -> np.ndarray:
-        k = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in KEYS]
-        part = np.searchsorted(table[:, 0], k[0], "left")
-        most = np.searchsorted(table[:, 0], k[0], "right")
-        for i in np.flatnonzero(part < most):  # on a boundary: the other keys decide
-            part[i] += sum(tuple(c) <= (k[0][i], k[1][i], k[2][i]) for c in table[part[i] : most[i]].tolist())
-        return part.astype(np.int32)
+def _place(cuts: list[tuple[int, int, int]], per: int):
+    table = np.array(cuts, np.int64).reshape(-1, 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            part = part_of(b)
+            part = _right_of([b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in KEYS], table).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part), pa.array(part // per, pa.int32())], names=[*b.schema.names, "_part", "_shard"])
 
     return run
