@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.tokens import LEAD, LOWER, PUNCT, flat, slices
+from barwright.llm.tokens import LEAD, LOWER, PUNCT, SMALL_SLICE, flat, slices
 
 Q = 8
 #: Edits allowed, as a share of a benchmark text's length. The lemma needs it below 1 / Q.
@@ -234,7 +234,7 @@ def _finder(held: Broadcast, item_type):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", SMALL_SLICE):
             rows = list(index.search(b.column(1)))
             if rows:
                 row, item, _, end, n = (np.array(x, np.int64) for x in zip(*rows, strict=True))
@@ -258,7 +258,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 def _dropper(held: Broadcast, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        for b in slices(batches, text_col, 4 << 20):
+        for b in slices(batches, text_col, SMALL_SLICE):
             keep = np.ones(b.num_rows, bool)
             keep[[row for row, *_ in index.search(b.column(b.schema.get_field_index(text_col)))]] = False
             yield b.filter(pa.array(keep))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.common import components, join_by_key, keep, small, stash
+from barwright.llm.tokens import SMALL_SLICE, slices
 
 SEED = 42
 SIMILARITY = 0.8
@@ -42,7 +43,7 @@ def set_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int)
     """(id, fp): a 64-bit hash of each row's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text", SMALL_SLICE):
             fps = np.fromiter((set_fingerprint(shingle_set(t, shingle)) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
@@ -54,7 +55,7 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     """Shingles that many texts hold, by a fixed sample of the distinct texts; sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text", SMALL_SLICE):
             own = np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, shingle) for t in b.column(0).to_pylist())])
             yield pa.record_batch([pa.array(own.view(np.int64))], names=["h"])
 
@@ -73,7 +74,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text", SMALL_SLICE):
             fps, sizes, prefixes, lates, parities, wides = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 own = shingle_set(t, shingle)
@@ -334,7 +335,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, si
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text", SMALL_SLICE):
             own = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
             yield pa.record_batch([pa.array(np.array([set_fingerprint(x) for x in own], np.uint64).view(np.int64)), pa.array([x.tobytes() for x in own], pa.binary())], names=["fp", "own"])
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from barwright.llm.common import components, join_by_key, keep, small
 from barwright.llm.setjoin import set_fingerprints, similar_groups
+from barwright.llm.tokens import SMALL_SLICE, slices
 
 SHINGLE = 3
 RADIUS = 2
@@ -50,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the fingerprint of each row as a signed long. A null or empty text has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text", SMALL_SLICE):
             fps = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 

@@ -19,6 +19,8 @@ PUNCT = (_CODES < 0x80) & ~((_CODES >= 0x30) & (_CODES <= 0x39)) & ~((_CODES >=
 LEAD = (_CODES & 0xC0) != 0x80
 
 SLICE_BYTES = 6 << 20
+#: For work that takes many times a text's size in memory.
+SMALL_SLICE = 2 << 20
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

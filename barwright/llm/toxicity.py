@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.common import keep
-from barwright.llm.tokens import LOWER, PUNCT, Words, flat, slices
+from barwright.llm.tokens import LOWER, PUNCT, SMALL_SLICE, Words, flat, slices
 
 FOLDS = 5
 BITS = 19
@@ -161,7 +161,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def _feature_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", SMALL_SLICE):
         f = Features(b.column(1))
         cut = np.searchsorted(f.row, np.arange(f.n + 1))
         sets = [f.feature[x:y].astype("<i4").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
@@ -216,7 +216,7 @@ def scored(docs: DataFrame, model: Classifier, text_col: str = "text", score_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = hold.value
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, SMALL_SLICE):
             f = Features(b.column(b.schema.get_field_index(text_col)))
             score = probability(f.scores(weights, bias))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, score_col])
