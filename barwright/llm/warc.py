@@ -11,11 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm.common import keep
+from barwright.llm.common import join_by_key, keep
 
 END = "\r\n\r\n"
 LEAST_PAYLOAD = 100
+#: Captures in a file, by the bytes of their payloads: up to FILE_TIER bytes, and for each factor of TIER_STEP more that
+#: part of it. So a file holds a few hundred MB at most, or one capture.
 CAPTURES_PER_FILE = 2000
+FILE_TIER, TIER_STEP, TIERS = 32 << 10, 8, 6
 #: Copies of payloads are looked up by broadcast up to this many distinct payloads (under 200 bytes each), else by a join.
 BROADCAST_ROWS = 20_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,7 +44,7 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least
 
     The payload is the html in UTF-8 (null: empty). Of rows with equal payloads of at least `least` bytes, the one with
     the smallest page_id (nulls last, then the smallest url) is the response and the others revisit it; smaller payloads
-    are all responses. Records of a row refer to each other by WARC-Concurrent-To, and a revisit to its response by
+    are all responses. Long payloads go to files of their own with fewer captures. Records of a row refer to each other by WARC-Concurrent-To, and a revisit to its response by
     target URI, date and payload digest. A null url has no WARC-Target-URI; line breaks in a url are percent-encoded.
     Repeated rows are captures of their own, and all responses if one is. Spark's text writer commits the files, with
     the record end as line separator, so a lost executor leaves no half archive.
@@ -50,10 +53,15 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least
     html = F.coalesce("html", F.lit(""))
     base = pages.select("page_id", crlf.alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("bytes"), _uuid(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.sha2(html, 256), F.monotonically_increasing_id()).alias("rid"))
     order = F.struct(F.isnull("page_id").alias("none"), "page_id", F.isnull("url").alias("no_url"), "url")
-    firsts = base.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = base.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = keep(firsts)
-    many = firsts.count() > broadcast_rows
-    rows = base.join(firsts if many else F.broadcast(firsts), "digest", "left")
+    if firsts.count() <= broadcast_rows:
+        rows = base.join(F.broadcast(firsts.drop("n")), "digest", "left")
+    else:  # frequent payloads by broadcast; the rows of those keep their place in the join of the others
+        heavy = firsts.orderBy(F.desc("n"), "digest").limit(max(broadcast_rows, 0))
+        rare = firsts.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select(F.col("digest").alias("_key"), F.col("first").alias("_first"))
+        rows = base.join(F.broadcast(heavy.drop("n")), "digest", "left").withColumn("_key", F.when(F.col("first").isNull(), F.col("digest")).otherwise(F.col("rid")))
+        rows = rows.join(rare, "_key", "left").withColumn("first", F.coalesce("first", "_first"))
     again = F.col("first").isNotNull() & ~(F.col("first.page_id").eqNullSafe(F.col("page_id")) & F.col("first.url").eqNullSafe(F.col("url")))
     sha = F.concat(F.lit("sha256:"), F.col("digest"))
     at = F.lit(date)
@@ -66,8 +74,12 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least
     request = _record(F.lit("request"), _uuid("rid", F.lit("request")), F.col("url"), at, ask, ("WARC-Concurrent-To", F.col("rid")), ("Content-Type", F.lit("application/http; msgtype=request")))
     fields = F.concat_ws("\r\n", F.concat(F.lit("pageId: "), F.col("page_id").cast("string")), F.concat(F.lit("payloadBytes: "), F.col("bytes").cast("string")), F.lit(""))
     metadata = _record(F.lit("metadata"), _uuid("rid", F.lit("metadata")), F.col("url"), at, fields, ("WARC-Concurrent-To", F.col("rid")), ("Content-Type", F.lit("application/warc-fields")))
-    out = rows.select(F.concat_ws(END, request, answer, metadata).alias("value"))
-    out.write.option("lineSep", END).option("compression", codec).option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
+    tier = sum(((F.col("bytes") > FILE_TIER * TIER_STEP**k).cast("int") for k in range(TIERS - 1)), F.lit(0))
+    out = rows.select(F.concat_ws(END, request, answer, metadata).alias("value"), tier.alias("tier"))
+    tiers = sorted(r[0] for r in base.select(tier.alias("tier")).distinct().collect()) or [0]  # at most TIERS
+    for k in tiers:
+        writer = out.where(F.col("tier") == k).select("value").write.mode("errorifexists" if k == tiers[0] else "append")
+        writer.option("lineSep", END).option("compression", codec).option("maxRecordsPerFile", max(1, CAPTURES_PER_FILE // TIER_STEP**k)).text(path)
 
 
 def _pieces(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
@@ -132,7 +144,10 @@ def _rows(contents: Iterable[bytes], keep_payload: bool) -> Iterator[tuple]:
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """All records of the archives below `path`, plain or gzip (whole files or a member per record): see RECORDS."""
+    """All records of the archives below `path`, plain or gzip (whole files or a member per record): see RECORDS.
+
+    Archives without records give no rows. A file is read as one row, so it must be below 2 GB.
+    """
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +175,8 @@ def captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, response, requests, metadata.
 
     Request and metadata records meet their response or revisit under the identifier they are concurrent to. `response`
-    is null where an archive holds no such record; several records of one kind stay side by side in the arrays.
+    is null where an archive holds no such record; several records of one kind stay side by side in the arrays; no records
+    give no rows.
     """
     one = F.struct("rtype", "record_id", "refers_to", "target_uri", "date", "payload_bytes", "payload_digest", "header_digest", "payload")
     side = F.struct("record_id", "target_uri", "date", "page_id")
@@ -183,5 +199,7 @@ def resolve(assembled: DataFrame) -> DataFrame:
     first = flat.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     owner = F.min(F.struct(F.isnull("page_id").alias("none"), "page_id"))
     seen = first.groupBy("payload_digest").agg(owner.alias("owner"), F.first("payload_bytes").alias("of_bytes")).withColumnRenamed("payload_digest", "named")
-    again = flat.where("record_type = 'revisit'").join(seen, "named", "left")
+    revisits = flat.where("record_type = 'revisit'").withColumn("named", F.coalesce("named", F.lit("")))
+    named = keep(revisits.groupBy("named").agg(F.count("*").alias("n")).join(seen, "named", "left"))
+    again = join_by_key(revisits, named, "named", "n").withColumn("named", F.nullif("named", F.lit("")))
     return first.unionByName(again.select("page_id", F.col("of_bytes").alias("payload_bytes"), F.col("named").alias("payload_digest"), "record_type", F.col("owner.page_id").alias("refers_to")))

@@ -37,7 +37,7 @@ LONG = "x" * 150
 ROWS = [(1, "http://a", LONG), (2, "http://b", LONG), (0, "http://c", LONG), (3, None, None), (4, "http://d\r\nX: y", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" + LONG), (8, "u", "ü\0漢" * 60), (9, "u", "ü\0漢" * 60), (10, "u", "z" * 3_000_000)]
 
 
-@pytest.mark.parametrize("how", [{}, {"codec": "none"}, {"broadcast_rows": -1}])
+@pytest.mark.parametrize("how", [{}, {"codec": "none"}, {"broadcast_rows": -1}, {"broadcast_rows": 1}])
 def test_round_trip(spark, tmp_path, how):
     df = spark.createDataFrame(ROWS, "page_id long, url string, html string").withColumn("rid", F.lit("clash")).withColumn("digest", F.lit("clash"))
     assert through(spark, df, str(tmp_path / "w"), **how) == brute(ROWS)
@@ -69,3 +69,21 @@ def test_foreign_archives():
         assert [(f["warc-type"], len(b)) for f, b in warc.parse(content)] == [("warcinfo", 11), ("response", 31), ("response", 0)]
     with pytest.raises(ValueError, match="ends within"):
         list(warc.parse(b"".join(parts)[:-40]))
+
+
+def test_long_pages_have_files_of_their_own(spark, tmp_path):
+    df = spark.range(40).select("id", F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.col("id").cast("string"), F.repeat(F.lit("page "), F.when(F.col("id") % 4 == 0, 500_000).otherwise(100))).alias("html")).coalesce(1)
+    warc.write(df, str(tmp_path / "w"), codec="none")
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "w").glob("part-*"))
+    assert len(sizes) == 5 and sizes[-1] < 8 << 20  # 10 captures of 2.5 MB, 3 a file, and 30 short ones in one
+    got = warc.resolve(warc.captures(warc.read(spark, str(tmp_path / "w"), payload=False)))
+    assert got.count() == 40 and got.agg(F.sum("payload_bytes")).first()[0] == df.agg(F.sum(F.octet_length("html"))).first()[0]
+
+
+def test_revisits_without_their_response(spark):
+    meta = [("m", None, None, 7)]
+    rows = [("c1", ("revisit", "c1", None, None, None, None, None, "ab", None), meta), ("c2", ("revisit", "c2", None, None, None, None, None, None, None), [("m", None, None, 8)])]
+    one = "struct<rtype: string, record_id: string, refers_to: string, target_uri: string, date: string, payload_bytes: bigint, payload_digest: string, header_digest: string, payload: binary>"
+    side = "array<struct<record_id: string, target_uri: string, date: string, page_id: bigint>>"
+    got = warc.resolve(spark.createDataFrame(rows, f"capture_id string, response {one}, metadata {side}")).collect()
+    assert sorted(map(tuple, got)) == [(7, None, "ab", "revisit", None), (8, None, None, "revisit", None)]
