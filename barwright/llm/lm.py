@@ -20,6 +20,8 @@ FOLDS, HELD_OUT, DELETED = 7, 2, 3
 BLOCK_BYTES = 8 << 20
 #: About so many distinct n-grams of blocks meet in one group of the counting step.
 GROUP_KEYS = 2_000_000
+#: A block's keys go to at most so many ranges; where the corpus needs more groups, runs of blocks are split further together.
+RANGES = 4096
 #: Contexts seen up to 0, 1, 2, 4, ... 2^14 times, and more.
 BUCKETS = 17
 #: Width, in powers of two, of the bins in which EM sees the ratios of its components; ratios reach from 2^-40 to 2^40.
@@ -145,9 +147,69 @@ def _asked(groups: int):
     return run
 
 
+ASKED = "g int, block long, again boolean, keys binary, fit binary, deleted binary"
+ANSWERED = "g int, block long, again boolean, counts binary, types long, fit_types long"
+
+
+def _keys(table: pa.Table) -> list[np.ndarray]:
+    return [np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+
+
+def _merged(ranges: int, parts: int):
+    """The rows of one range and run of blocks as one for each of the range's parts: distinct keys and their sums."""
+
+    def run(table: pa.Table) -> pa.Table:
+        every = np.concatenate(_keys(table))
+        order = np.argsort(every, kind="stable")
+        ranked = every[order]
+        begin = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        keys = ranked[begin]
+        sums = {n: np.add.reduceat(np.concatenate([_unpack(x, np.uint32) for x in table.column(n).to_pylist()])[order].astype(np.int64), begin).astype(np.uint32) for n in ("fit", "deleted")}
+        first = table.column("g")[0].as_py() * parts
+        edges = np.array([((first + s) << 64) // (ranges * parts) for s in range(parts)], np.uint64)
+        cut = np.append(np.searchsorted(keys, edges), len(keys))
+        cut[0] = 0
+        full = np.flatnonzero(cut[1:] > cut[:-1])
+        step = np.diff(keys, prepend=np.uint64(0))
+        step[cut[full]] = keys[cut[full]]
+        part = lambda x: pa.array([_pack(x[cut[s] : cut[s + 1]]) for s in full], pa.binary())
+        same = lambda name, n=len(full): pa.array([table.column(name)[0].as_py()] * n)
+        return pa.table({"g": pa.array((first + full).astype(np.int32)), "block": same("bucket"), "again": same("again"), "keys": part(step), "fit": part(sums["fit"]), "deleted": part(sums["deleted"])})
+
+    return run
+
+
+def _dealt(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The counts of a range and run of blocks, back in the order of each block's keys."""
+    own = _keys(left)
+    keys = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]))
+    counts = np.concatenate([*(_unpack(x, np.int64) for x in right.sort_by("g").column("counts").to_pylist()), np.zeros(0, np.int64)])
+    none = pa.array(np.zeros(left.num_rows, np.int64))
+    found = pa.array([_pack(counts[np.searchsorted(keys, k)]) for k in own], pa.binary())
+    return pa.table({"g": left.column("g"), "block": left.column("block"), "again": left.column("again"), "counts": found, "types": none, "fit_types": none})
+
+
+def _answers(asked: DataFrame, n_blocks: int, ranges: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(answers to each block and range, the table that has the numbers of types).
+
+    With several parts a range, a group of the counting step is a part: first the rows of a range are merged for runs of
+    as many blocks as there are parts, so that rows grow in proportion to the blocks, and its answers are dealt out again.
+    """
+    if parts == 1:
+        answers = stash(asked.groupBy("g").applyInArrow(_answer, ANSWERED), "lm-counts")
+        return answers, answers
+    asked = stash(asked.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(max(1, n_blocks // parts)))), "lm-asked")
+    run = ["g", "bucket", "again"]
+    merged = asked.groupBy(*run).applyInArrow(_merged(ranges, parts), ASKED)
+    totals = stash(merged.groupBy("g").applyInArrow(_answer, ANSWERED), "lm-parts")
+    back = totals.select(F.expr(f"g div {parts}").cast("int").alias("_g"), F.col("block").alias("bucket"), "again", "g", "counts")
+    answers = asked.groupBy(*run).cogroup(back.groupBy("_g", "bucket", "again")).applyInArrow(_dealt, ANSWERED)
+    return stash(answers, "lm-counts"), totals
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """The counts over all blocks of the keys that each block asked for, in its order: for EM without the deleted documents."""
-    keys = [np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+    keys = _keys(table)
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     ranked = every[order]
@@ -268,9 +330,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     single-word counts: log10((c + 1) / (N + (V + 1))).
 
     Documents are cut into words once, into a table of blocks of about 8 MB of text. A block asks for the counts of its
-    distinct n-grams, by ranges of 64-bit n-gram hashes (two of 10^9 words collide with probability 0.03); each range
+    distinct n-grams, by ranges of 63-bit n-gram hashes (two of 10^9 words collide with probability 0.05); each range
     adds up what all blocks hold and answers each block in its order. So a frequent word is one key a block, whatever
-    its count. EM sees its components' ratios in bins of 2^(1/16), at most buckets x bins^2 sums.
+    its count. A block has rows for at most RANGES ranges; a larger corpus splits them further for runs of blocks. EM sees its components' ratios in bins of 2^(1/16), at most buckets x bins^2 sums.
 
     Null and empty texts are the end token alone; a null id counts as empty text in the crc; repeated rows count and
     score each; an empty table gives no rows; without training documents all estimates but the uniform one are zero.
@@ -282,11 +344,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     token_sum = lambda keep_fold: F.coalesce(F.sum(F.expr(f"if(again, 0L, aggregate(zip_with(fold, lens, (f, l) -> if({keep_fold}, cast(l as bigint), 0L)), 0L, (a, x) -> a + x))")), F.lit(0))
     doc_sum = lambda keep_fold: F.coalesce(F.sum(F.expr(f"if(again, 0, size(filter(fold, f -> {keep_fold})))")), F.lit(0))
     train, fit = f"f <> {HELD_OUT}", f"f <> {HELD_OUT} and f <> {DELETED}"
-    n_train, n_fit, d_train, d_fit, n_keys = blocks.agg(token_sum(train), token_sum(fit), doc_sum(train), doc_sum(fit), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
+    n_train, n_fit, d_train, d_fit, n_keys, n_blocks = blocks.agg(token_sum(train), token_sum(fit), doc_sum(train), doc_sum(fit), F.coalesce(F.sum("n_keys"), F.lit(0)), F.count("*")).first()
     groups = max(1, -(-n_keys // GROUP_KEYS), int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    asked = blocks.select("block", "again", "fold", "lens", "words", "tokens").mapInArrow(_asked(groups), "g int, block long, again boolean, keys binary, fit binary, deleted binary")
-    answers = stash(asked.groupBy("g").applyInArrow(_answer, "g int, block long, again boolean, counts binary, types long, fit_types long"), "lm-counts")
-    types, fit_types = answers.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("fit_types"), F.lit(0))).first()
+    ranges, parts = min(groups, RANGES), -(-groups // RANGES)
+    asked = blocks.select("block", "again", "fold", "lens", "words", "tokens").mapInArrow(_asked(ranges), ASKED)
+    answers, counted = _answers(asked, n_blocks, ranges, parts)
+    types, fit_types = counted.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("fit_types"), F.lit(0))).first()
     held = _pairs(blocks.select("block", "again", "fold", "lens", "words", "tokens"), answers, True, _cells(n_fit, fit_types, d_fit), "cell long, n long")
     cells = []
     for r in held.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # bounded by buckets and bins

@@ -80,7 +80,7 @@ class Words:
 
 
 def crc32_of(ids: pa.Array) -> np.ndarray:
-    """CRC-32 of each id as decimal text; a null id counts as empty text."""
+    """CRC-32 of each id as text; a null id counts as empty text."""
     import zlib
 
-    return np.fromiter((0 if i is None else zlib.crc32(b"%d" % i) for i in ids.to_pylist()), np.int64, len(ids))
+    return np.fromiter((0 if i is None else zlib.crc32(str(i).encode()) for i in ids.to_pylist()), np.int64, len(ids))

@@ -66,6 +66,40 @@ def test_blocks_and_groups_change_nothing(docs, texts, monkeypatch, size):
     same(got.collect(), brute([(i, t) for i, t in texts.items() if i < 25], model.weights))
 
 
+@pytest.mark.parametrize("size", [1, 3000])
+def test_parts_of_ranges_change_nothing(docs, texts, monkeypatch, size):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", size)
+    monkeypatch.setattr(lm, "GROUP_KEYS", 900)
+    monkeypatch.setattr(lm, "RANGES", 3)
+    few = docs.where("doc_id < 25")
+    got, model = lm.score(few)
+    same(got.collect(), brute([(i, t) for i, t in texts.items() if i < 25], model.weights))
+
+
+def test_rows_asked_grow_with_the_input(docs, monkeypatch):
+    """Rows between the steps for 1, 2 and 4 times the blocks, beyond the ranges that a block may have."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(lm, "RANGES", 8)
+    monkeypatch.setattr(lm, "GROUP_KEYS", 400)
+    made = []
+    keep, inner = lm.stash, []
+    monkeypatch.setattr(lm, "stash", lambda df, name: inner.append(name) or made.append((name, (out := keep(df, name)).count())) or out)
+    sizes = []
+    for n in (25, 50, 100):
+        made.clear()
+        lm.score(docs.where(f"doc_id < {n}"))[0].count()
+        sizes.append({name: rows for name, rows in made})
+    assert all({"lm-asked", "lm-parts"} <= set(s) for s in sizes)
+    for name in ("lm-asked", "lm-parts", "lm-counts"):
+        assert sizes[2][name] <= 4.6 * sizes[0][name], (name, sizes)
+
+
+def test_text_ids(spark):
+    df = spark.createDataFrame([(f"d{i}", f"some text {i}") for i in range(20)], "doc_id string, text string")
+    got, model = lm.score(df)
+    same(got.collect(), brute([(f"d{i}", f"some text {i}") for i in range(20)], model.weights))
+
+
 def test_odd_rows(odd_docs, clashing, empty_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     for df in (odd_docs, clashing):
