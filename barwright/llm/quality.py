@@ -13,10 +13,15 @@ from barwright.llm.tokens import LEAD, SPACE, Words, flat, slices
 
 #: A repeat counts from so many words on.
 LEAST_REPEAT = 8
-#: A text fails if repeats cover more than this share of its words, or one repeat has more than so many words.
-MOST_COVERED = 0.4
+#: A text fails if repeats cover more than this share of its words, or one repeat has more than so many words. A line
+#: that is said twice weighs more in a short text: the share allowed falls from MOST_COVERED + EXTRA, at EXTRA_WORDS words
+#: or fewer, towards MOST_COVERED in proportion to 1 / words.
+MOST_COVERED = 0.25
+EXTRA, EXTRA_WORDS = 0.15, 100
 MOST_LENGTH = 120
 LEAST_WORDS = 50
+#: Ranks of this many doublings are kept to read common prefixes from, with 4 bytes a word each.
+LEVELS = 13
 MOST_PERCENT = 50
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
@@ -36,7 +41,7 @@ def repeats(ids: np.ndarray, rows: np.ndarray, least: int = LEAST_REPEAT) -> tup
 
     Suffixes are ranked by prefix doubling within each row. Rows in which all runs of `least` words differ are done after
     the first doublings; the suffixes of the others are ranked to the end. Neighbours in the suffix array share their
-    longest common prefix, read off the ranks of all doublings; each suffix's longest prefix shared with a neighbour is
+    longest common prefix, read off the ranks of the doublings up to 4,096 words, of which the highest is applied as often as it holds; each suffix's longest prefix shared with a neighbour is
     the longest repeat that begins there, so these spans have the same union as all maximal repeats.
     """
     n_rows, n = len(rows) - 1, len(ids)
@@ -75,21 +80,25 @@ def repeats(ids: np.ndarray, rows: np.ndarray, least: int = LEAST_REPEAT) -> tup
     row = np.searchsorted(of, row[take])
     ids, left = ids[take], left[take]
     n = len(ids)
-    levels = [_rank(row * (int(ids.max()) + 1) + ids)]
-    while True:
-        more = doubled(levels[-1], 1 << (len(levels) - 1), left)
-        levels.append(more)
-        if more.max() == n - 1:
-            break
-    order = np.argsort(levels[-1], kind="stable")
+    rank, span = _rank(row * (int(ids.max()) + 1) + ids), 1
+    levels = [rank.astype(np.int32)]
+    while rank.max() < n - 1:
+        rank, span = doubled(rank, span, left), 2 * span
+        if len(levels) < LEVELS:
+            levels.append(rank.astype(np.int32))
+    order = np.argsort(rank, kind="stable")
+    del rank
     a, b = order[:-1], order[1:]
     common = np.zeros(n - 1, np.int64)
+    open_ = np.flatnonzero(row[a] == row[b])
     for k in range(len(levels) - 1, -1, -1):
-        x, y = a + common, b + common
-        fits = (left[a] - common >= 1 << k) & (left[b] - common >= 1 << k) & (row[a] == row[b])
-        same = np.zeros(n - 1, bool)
-        same[fits] = levels[k][x[fits]] == levels[k][y[fits]]
-        common += same.astype(np.int64) << k
+        at = open_
+        while len(at):
+            x, y = a[at] + common[at], b[at] + common[at]
+            at = at[(left[a[at]] - common[at] >= 1 << k) & (left[b[at]] - common[at] >= 1 << k) & (levels[k][np.minimum(x, n - 1)] == levels[k][np.minimum(y, n - 1)])]
+            common[at] += 1 << k
+            if k < len(levels) - 1:  # below the highest level a second step can't fit
+                break
     best = np.zeros(n, np.int64)
     np.maximum.at(best, a, common)
     np.maximum.at(best, b, common)
@@ -138,10 +147,11 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
     covered_words lie in substrings of at least `least_repeat` words that the text holds twice or more, and
     longest_repeat is the longest one's length in words. A text that passes the base rules is kept if covered_words is at
-    most `most_covered` of its words and longest_repeat at most `most_length`.
+    most `most_covered` + EXTRA x min(1, EXTRA_WORDS / words) of its words and longest_repeat at most `most_length`.
 
     Null and empty texts have no words and fail; repeated rows and null ids are returned as they are; an empty table
-    gives no rows; other columns are ignored. The longest text is measured whole.
+    gives no rows; other columns are ignored. The longest text is measured whole, in about
+    130 bytes of memory a word.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -158,7 +168,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             windows = _repeated_words(ids, w.rows)
             covered, longest = repeats(ids, w.rows, least_repeat)
             failed = (n < LEAST_WORDS) | (100 * windows > MOST_PERCENT * n)
-            kept = ~failed & (covered <= most_covered * n) & (longest <= most_length)
+            kept = ~failed & (covered <= (most_covered + EXTRA * np.minimum(1, EXTRA_WORDS / np.maximum(n, 1))) * n) & (longest <= most_length)
             columns = [n, chars, symbols, lines, windows, covered, longest, failed, kept]
             yield pa.record_batch([b.column(0), *map(pa.array, columns)], names=["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat", "base_failed", "kept"])
 

@@ -202,3 +202,21 @@ def test_chains_against_all_predecessors():
             if max(cover) >= licences.LEAST_COVER * 60:
                 want[t] = max(cover)
         assert {t: c for t, _, c in scanner.spans(words)} == want
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_repeats_longer_than_the_kept_ranks(monkeypatch, levels):
+    monkeypatch.setattr(quality, "LEVELS", levels)
+    rng = random.Random(levels)
+    rows = [[rng.randrange(3) for _ in range(rng.randrange(0, 60))] for _ in range(20)] + [[0] * 70, list(range(40)) * 2]
+    ids, cut = np.array([x for r in rows for x in r]), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    covered, longest = quality.repeats(ids, cut, 4)
+    assert list(zip(covered.tolist(), longest.tolist(), strict=True)) == [brute_repeats(r, 4) for r in rows]
+
+
+def test_share_allowed_falls_with_length(spark):
+    """Two copies of one passage: 36 % of a short text and of a long one."""
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(n, f"{words('p', n * 18 // 100)} {words('x', n * 64 // 100)} {words('p', n * 18 // 100)}") for n in (100, 600)]
+    got = {r["id"]: (r["kept"], r["base_failed"]) for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {100: (True, False), 600: (False, False)}
