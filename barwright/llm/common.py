@@ -20,6 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Texts go to Python in Arrow batches of at most so many bytes; Spark's own limit lets a task hold several times 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's limit on the bytes of an Arrow batch is lowered to BATCH_BYTES; it stays so, as plans run later."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int("".join(filter(str.isdigit, df.sparkSession.conf.get(name)))) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint: for small tables that several jobs read."""
     shared_dir(df.sparkSession)

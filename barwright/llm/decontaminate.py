@@ -10,6 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm.common import small_batches
 from barwright.llm.tokens import LEAD, LOWER, PUNCT, SMALL_SLICE, flat, slices
 
 Q = 8
@@ -219,7 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, id_col), (benchmark, item_col)))
     shape = f"id {kind}, item_id {item_kind}, n_edits long, item_chars long, found_end long"
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = None
     for index in _indexes(benchmark, item_col, item_text_col, edits, block_bytes):
         found = picked.mapInArrow(_finder(index, benchmark.schema[item_col].dataType), shape)
@@ -251,7 +252,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     for index in _indexes(benchmark, item_col, item_text_col, edits, block_bytes):
-        docs = docs.mapInArrow(_dropper(index, text_col), shape)
+        docs = small_batches(docs).mapInArrow(_dropper(index, text_col), shape)
     return docs
 
 

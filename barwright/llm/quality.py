@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm.common import small_batches
 from barwright.llm.tokens import LEAD, SPACE, Words, flat, slices
 
 #: A repeat counts from so many words on.
@@ -173,4 +174,4 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             yield pa.record_batch([b.column(0), *map(pa.array, columns)], names=["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat", "base_failed", "kept"])
 
     counts = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {counts}, base_failed boolean, kept boolean")
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {counts}, base_failed boolean, kept boolean")

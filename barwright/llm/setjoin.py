@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import components, join_by_key, keep, small, stash
+from barwright.llm.common import components, join_by_key, keep, small, small_batches, stash
 from barwright.llm.tokens import SMALL_SLICE, slices
 
 SEED = 42
@@ -323,7 +323,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, si
     neighbour, then to the nearest set outside its group, and at last all pairs of different groups are compared. Common
     shingles go to tiles directly, so that no run passes through one task.
     """
-    common = common_shingles(docs, text_col, shingle)
+    common = common_shingles(small_batches(docs), text_col, shingle)
     every = described(docs, id_col, text_col, shingle, similarity, common)
     first = [F.first(c).alias(c) for c in ("n", "prefix", "late", "parity", "wide")]
     rows = stash(every.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("copies"), *first), "shingle-sets")

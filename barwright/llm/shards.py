@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.common import keep
+from barwright.llm.common import keep, small_batches
 
 SHARDS = 8
 #: Share of a part's bytes by which a splitter may miss its place.
@@ -159,7 +159,7 @@ def histogram_shards(rows: DataFrame, sizes: DataFrame | None = None, shards: in
         offsets[p] = n
         n += m
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    placed = rows.mapInArrow(_place(cuts, per), f"{shape}, {where}")
+    placed = small_batches(rows).mapInArrow(_place(cuts, per), f"{shape}, {where}")
     moved = placed.repartitionById(shards * per, F.col("_part")).sortWithinPartitions(*KEYS)
     return moved.mapInArrow(_slots(offsets), f"{shape}, {where}, _slot long")
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import components, join_by_key, keep, small
+from barwright.llm.common import components, join_by_key, keep, small, small_batches
 from barwright.llm.setjoin import set_fingerprints, similar_groups
 from barwright.llm.tokens import SMALL_SLICE, slices
 
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:

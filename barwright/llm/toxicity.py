@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import keep
+from barwright.llm.common import keep, small_batches
 from barwright.llm.tokens import LOWER, PUNCT, SMALL_SLICE, Words, flat, slices
 
 FOLDS = 5
@@ -192,7 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null").where(in_training)
     rest = first(ids.distinct(), most_unlabelled)
     chosen = positive.withColumn("toxic", F.lit(1)).unionByName(rest.withColumn("toxic", F.lit(0)))  # at most both bounds in rows
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("toxic", "text")
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("toxic", "text")
     sets = keep(texts.mapInArrow(_feature_sets, "toxic int, features binary").orderBy("toxic", F.xxhash64("features")))
     shares = Shares()
     for r in sets.toLocalIterator():  # a partition at a time
@@ -221,4 +221,4 @@ def scored(docs: DataFrame, model: Classifier, text_col: str = "text", score_col
             score = probability(f.scores(weights, bias))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, score_col])
 
-    return docs.mapInArrow(run, f"{shape}, `{score_col}` double")
+    return small_batches(docs).mapInArrow(run, f"{shape}, `{score_col}` double")
