@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Texts go to Python in Arrow batches of at most so many bytes; Spark's own limit lets a task hold several times 64 MB.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ LEAD = (_CODES & 0xC0) != 0x80
 
 SLICE_BYTES = 6 << 20
 #: For work that takes many times a text's size in memory.
-SMALL_SLICE = 2 << 20
+SMALL_SLICE = 512 << 10
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
