@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import decontaminate, licences, lines, lm, mix, quality, shards, simhash, toxicity, warc
+from barwright.llm import decontaminate, licences, lines, lm, merkle, mix, pieces, quality, shards, simhash, toxicity, warc
 from barwright.llm.common import shared_dir
 
 
@@ -78,6 +78,22 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as SentencePiece ids and back."""
+    import public_tokenizers
+
+    coded = pieces.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle manifest of all documents by language, with each one's proof tried after some texts were altered."""
+    altered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    tried = merkle.audited(_table(spark, sf_dir, "documents"), altered)
+    proof = F.sha2(F.concat_ws("", F.transform("proof", lambda s: s["siblings"])), 256)
+    return tried.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
 OP2_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -136,10 +152,61 @@ FROM o LEFT JOIN n ON o.doc_id = n.doc_id
 """
 
 
+#: CRC-32 by halves of a byte: each entry is what four steps make of its number.
+_CRC16 = [n for n in range(16)]
+for _ in range(4):
+    _CRC16 = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in _CRC16]
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text of characters up to U+00FF, unsigned."""
+    table = f"({_CRC16}::BIGINT[])"
+    nibble = lambda c, b: f"xor({c} >> 4, {table}[(xor({c}, {b}) & 15) + 1])"
+    half = nibble("c", "b")
+    step = nibble(f"({half})", "(b >> 4)")
+    codes = f"list_transform(string_split({text}, ''), lambda x: unicode(x)::BIGINT)"
+    data = f"flatten(list_transform({codes}, lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {data}), lambda c, b: {step}), 4294967295)"
+
+
+def op12_sql(levels: int = 8, above: int = 5) -> str:
+    """op12 with the levels written out: for up to 8 ** levels documents of a language, and 8 ** above languages."""
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR) END"
+    text = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda t: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", t)) + ")"
+    name = "CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END"
+    parts = [
+        f"d AS (SELECT doc_id, {name} AS g, {leaf('text')} AS leaf, CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {leaf(text)} END AS other FROM documents)",
+        "b0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d)",
+        "l0 AS (SELECT g, i, n, leaf AS h FROM b0)",
+    ]
+    for name, count in (("l", levels), ("r", above)):
+        for k in range(count):
+            parts.append(f"{name}run{k} AS (SELECT g, i // 8 AS i, n, list(h ORDER BY i) AS hs FROM {name}{k} WHERE n > 1 GROUP BY g, i // 8, n)")
+            parts.append(f"{name}{k + 1} AS (SELECT g, i, (n + 7) // 8 AS n, sha256(array_to_string(hs, '')) AS h FROM {name}run{k})")
+        tops = " UNION ALL ".join(f"SELECT g, h FROM {name}{k} WHERE n = 1" for k in range(count + 1))
+        parts.append(f"{name}top AS ({tops})")
+        if name == "l":
+            parts.append("r0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h, g AS lang FROM ltop)")
+    parts.append("p0 AS (SELECT b.*, r.i AS j, r.h AS subroot, '' AS proof, coalesce(other, leaf) AS back FROM b0 b JOIN r0 r ON r.lang = b.g)")
+    at = 0
+    for name, count, key, place in (("l", levels, "p.g", "i"), ("r", above, "''", "j")):
+        for k in range(count):
+            digit, hs = f"CAST((p.{place} // {8**k}) % 8 AS INTEGER)", "r.hs"
+            left, right = f"array_to_string({hs}[1:{digit}], '')", f"array_to_string({hs}[{digit} + 2:], '')"
+            parts.append(
+                f"p{at + 1} AS (SELECT p.* REPLACE (CASE WHEN r.hs IS NULL THEN proof ELSE proof || {left} || {right} END AS proof, CASE WHEN r.hs IS NULL THEN back ELSE sha256({left} || back || {right}) END AS back) "
+                f"FROM p{at} p LEFT JOIN {name}run{k} r ON r.g = {key} AND r.i = p.{place} // {8 ** (k + 1)})"
+            )
+            at += 1
+    root = "(SELECT h FROM rtop)"
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, {root} AS root, sha256(proof) AS proof_sha256, back AS folded_root, back = {root} AS verified FROM p{at}"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_lines, op4_lm, op5_shards, op6_licences, op7_repetition, op8_toxicity, op9_decontaminate, op10_mix)}
+    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_lines, op4_lm, op5_shards, op6_licences, op7_repetition, op8_toxicity, op9_decontaminate, op10_mix, op11_pieces, op12_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL says the same: the others are tested against brute force in tests/llm."""
-    return {"op2_warc": OP2_SQL, "op3_lines": OP3_SQL, "op10_mix": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op3_lines": OP3_SQL, "op10_mix": OP10_SQL, "op12_merkle": op12_sql()}
