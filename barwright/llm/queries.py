@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import decontaminate, licences, lines, lm, merkle, mix, pieces, quality, shards, simhash, toxicity, warc
+from barwright.llm import decontaminate, licences, lines, lm, merkle, mix, pieces, quality, shards, simhash, spelling, toxicity, warc
 from barwright.llm.common import shared_dir
 
 
@@ -94,6 +94,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tried.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some of them misspelt on purpose, with their spelling variants."""
+    return spelling.group(_table(spark, sf_dir, "documents"), noise=spelling.NOISE)
+
+
 OP2_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -203,10 +208,38 @@ def op12_sql(levels: int = 8, above: int = 5) -> str:
     return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, {root} AS root, sha256(proof) AS proof_sha256, back AS folded_root, back = {root} AS verified FROM p{at}"
 
 
+#: Near words by what is left of both when one character is masked or deleted.
+OP13_SQL = f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), h AS (
+  SELECT run, k, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM (SELECT doc_id, run, count(*) AS k FROM r GROUP BY ALL)
+), m AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, k FROM h
+), w AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), c AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM w
+), p AS (
+  SELECT word, n, substr(word, 1, place - 1) || '?' || substr(word, place + 1) AS mask, substr(word, 1, place - 1) || substr(word, place + 1) AS less FROM c
+), e AS (
+  SELECT a.word, b.word AS near FROM p a JOIN p b ON a.mask = b.mask AND a.word <> b.word
+  UNION SELECT p.word, w.word FROM p JOIN w ON p.less = w.word UNION SELECT w.word, p.word FROM p JOIN w ON p.less = w.word
+), b AS (
+  SELECT e.word, count(*) AS n_near, arg_min(e.near, (-w.n, e.near)) AS near, max(w.n) AS near_n FROM e JOIN w ON w.word = e.near GROUP BY e.word
+), f AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n FROM w LEFT JOIN b ON b.word = w.word
+), g(word, last) AS (
+  SELECT word, word FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.last WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, g.last AS root, f.n, f.n_near, f.form_n FROM f JOIN g ON g.word = f.word JOIN f AS l ON l.word = g.last AND l.form IS NULL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_lines, op4_lm, op5_shards, op6_licences, op7_repetition, op8_toxicity, op9_decontaminate, op10_mix, op11_pieces, op12_merkle)}
+    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_lines, op4_lm, op5_shards, op6_licences, op7_repetition, op8_toxicity, op9_decontaminate, op10_mix, op11_pieces, op12_merkle, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL says the same: the others are tested against brute force in tests/llm."""
-    return {"op2_warc": OP2_SQL, "op3_lines": OP3_SQL, "op10_mix": OP10_SQL, "op12_merkle": op12_sql()}
+    return {"op2_warc": OP2_SQL, "op3_lines": OP3_SQL, "op10_mix": OP10_SQL, "op12_merkle": op12_sql(), "op13_spelling": OP13_SQL}
