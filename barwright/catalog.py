@@ -321,6 +321,9 @@ _searched = lambda: q.searched(search.Space(WINDOWED).instances, signals.CATEGOR
 _report_sql = f"SELECT symbol, ordinal AS id, num_trades AS trades, is_trades, oos_trades, mode, CAST(NULL AS DOUBLE) AS adx_min, rule AS combine, strategy, {q.shown(*_ratios)} FROM tp".replace("AS oos_max_drawdown", "AS oos_mdd")
 
 register("search_windowed", lambda s, d: rounded(found(s, d, WINDOWED), ("symbol", "ordinal", "signature", "num_trades"), {c: c for c in _ratios}), _searched().sql(f"SELECT symbol, ordinal, signature, num_trades, {q.shown(*_ratios)} FROM un"))
+_found_sql = _searched().sql(f"SELECT symbol, ordinal, signature, num_trades, {q.shown(*_ratios)} FROM un")
+# the same with votes of a few bars at a time, so that every series is searched in many parts of time
+register("search_in_parts", lambda s, d: rounded(search.search_all(by_type(s, d), WINDOWED, 500), ("symbol", "ordinal", "signature", "num_trades"), {c: c for c in _ratios}), _found_sql)
 register("report_windowed", lambda s, d: rounded(report.top_strategies(found(s, d, WINDOWED), 25, min_trades=5, by=EACH), _keys, {c: c for c in _report}), q.best(_searched(), "num_trades >= 5", 25).sql(_report_sql))
 register(
     "report_windowed_by_return",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barwright.functions import signals
 from barwright.operators import backtest as bt
 from barwright.operators import report
+from barwright.operators.tally import Tally
 from barwright.plans import search, selection
 from barwright.sources.candles import SCHEMA
 from tests.conftest import made_bars
@@ -90,20 +91,95 @@ def test_split_is_chronological_and_uses_doubles(spark):
     assert halves == {"is": 503, "oos": 217}
 
 
-def test_matrix_agrees_with_windows(bars):
-    """The search's evaluator and the relational backtest give the same metrics."""
+@pytest.mark.parametrize("part", [16 << 20, 1, 9_000])
+def test_matrix_agrees_with_windows(bars, monkeypatch, part):
+    """The search's evaluator and the relational backtest give the same metrics, also where a series is in parts of a bar each."""
+    monkeypatch.setattr(search, "PART_VOTES", part)
     config = replace(SMALL, adx_filters=(None, 25.0))
     space = search.Space(config)
-    series = search._unpacked(search.prepare(bars, config).first().asDict())
+    rows = [r.asDict() for r in search.prepare(bars, config).orderBy("part").collect()]
+    assert [r["at"] for r in rows] == list(np.cumsum([0] + [len(r["close"]) // 8 for r in rows])[:-1]) and sum(len(r["close"]) // 8 for r in rows) == rows[0]["n"] == 600
     for ordinal in (0, 3, 160, 291, 300, 5001, 9002, 12001):
         spec = dict(space.specs(np.array([ordinal])))[ordinal]
-        row = next(search.evaluate(space, series, np.array([ordinal]))).to_pylist()[0]
+        row = next(search.evaluate(space, map(search._unpacked, rows), np.array([ordinal]))).to_pylist()[0]
         got = {"is": row["train"], "oos": row["test"]}
         for r in bt.split_backtest(search.spec_positions(bars, spec)).collect():
             for m in bt.METRICS:
                 assert got[r["half"]][m] == pytest.approx(r[m], rel=1e-8, abs=1e-10), (spec.signature, r["half"], m)
 
 
+def plain_metrics(close, position, ppy, cost_bps):
+    """One strategy over a whole series, as a loop over its bars and trades."""
+    n = len(close)
+    asset = np.concatenate(([0.0], close[1:] / close[:-1] - 1))[:n]
+    held = np.concatenate(([0], position[:-1]))[:n]
+    step = np.diff(held, prepend=0)
+    r = held * asset - abs(step) * cost_bps / 1e4
+    if not abs(r).sum():
+        return {m: n if m == "n_bars" else 0 for m in bt.METRICS}
+    equity, peak, deepest = 1.0, -np.inf, 0.0
+    for x in r:
+        equity *= 1 + x
+        peak = max(peak, equity)
+        deepest = min(deepest, equity / peak - 1)
+    trades, log = [], None
+    for k in range(n):
+        if step[k] and log is not None:
+            trades.append(log)
+            log = None
+        if held[k]:
+            log = (log or 0.0) + np.log1p(max(r[k], bt.LOSS_FLOOR))
+    trades += [] if log is None else [log]
+    active, falls = held != 0, r[r < 0]
+    cagr = np.expm1(np.log(equity) * ppy / n) if equity > 0 else 0.0
+    cagr = cagr if np.isfinite(cagr) else 0.0
+    off, down, won = r.std(), falls.std() if len(falls) else 0.0, sum(t > bt.WIN for t in trades)
+    gain, loss = r[active & (r > 0)].sum(), -r[active & (r < 0)].sum()
+    return {
+        "total_return": equity - 1, "cagr": cagr, "ann_vol": off * ppy**0.5, "sharpe": r.mean() * ppy**0.5 / off if off > 0 else 0.0, "sortino": r.mean() * ppy**0.5 / down if down > 0 else 0.0,
+        "max_drawdown": deepest, "calmar": cagr / -deepest if deepest < 0 else 0.0, "win_rate": (active & (r > 0)).sum() / active.sum() if active.any() else 0.0, "trade_win_rate": won / len(trades) if trades else 0.0,
+        "trade_wins": won, "trade_count": len(trades), "profit_factor": gain / loss if loss > 0 else 0.0, "exposure": active.mean(), "num_trades": (step != 0).sum(), "n_bars": n,
+    }
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_tallies_of_stretches(seed):
+    """Bars added whole, in some stretches and one by one; with jumps by which a short loses more than all."""
+    rng = np.random.default_rng(seed)
+    n, m = int(rng.integers(1, 300)), 40
+    close = 40 * np.exp(np.cumsum(rng.standard_t(2, n) * 0.05))
+    if seed % 2:
+        close = close * (1 + 1.6 * (rng.random(n) < 0.05))
+    position = rng.integers(-1, 2, (m, n)).astype(np.int8)
+    position[:8] = 0
+    for k in range(8, 30):
+        position[k] = np.repeat(rng.integers(-1, 2, n), 9)[:n]
+    want = [plain_metrics(close, position[k].astype(int), 8766.0, 5.0) for k in range(m)]
+    for cuts in ([], sorted(rng.integers(0, n + 1, 6)), range(n)):
+        tally, edges = Tally(m, 5.0), [0, *cuts, n]
+        for a, b in zip(edges, edges[1:], strict=False):
+            tally.add(close[a:b], position[:, a:b])
+        got = tally.metrics(8766.0)
+        for k in range(m):
+            for name in bt.METRICS:
+                assert got[name][k] == pytest.approx(want[k][name], rel=1e-9, abs=1e-12), (cuts, k, name)
+
+
+def test_search_in_parts_of_time(bars, monkeypatch):
+    config = replace(SMALL, categories=("volume",), adx_filters=(None, 20.0))
+    want = {r["ordinal"]: r for r in search.search_all(bars, config).collect()}
+    monkeypatch.setattr(search, "PART_VOTES", 400)
+    for most in (search.MOST_BROADCAST, 0):
+        monkeypatch.setattr(search, "MOST_BROADCAST", most)
+        packed = search.kept(search.prepare(bars, config))
+        assert packed.count() > 10
+        got = {r["ordinal"]: r for r in search.first_of_each(search.search(packed, config)).collect()}
+        assert set(got) == set(want)
+        for o, r in got.items():
+            assert [r[c] for c in ("signature", "run_id", "num_trades", "dedup_key")] == [want[o][c] for c in ("signature", "run_id", "num_trades", "dedup_key")]
+            assert [r[c] for c in ("score", "oos_return", "oos_max_drawdown", "win_rate")] == pytest.approx([want[o][c] for c in ("score", "oos_return", "oos_max_drawdown", "win_rate")], rel=1e-9, abs=1e-12)
+
+
 def test_search_report_and_selection(spark, bars, tmp_path):
     path = str(tmp_path)
     config = replace(SMALL, categories=("volatility", "volume"))
@@ -186,3 +262,26 @@ def test_small_and_large_votes_give_the_same(bars, monkeypatch):
     want = sorted(search.search_all(bars, config).collect())
     monkeypatch.setattr(search, "MOST_BROADCAST", 0)
     assert sorted(search.search_all(bars, config).collect()) == want
+
+
+def test_manifest_is_a_set_of_intervals(spark):
+    rows = [("a", 0, 3), ("a", 3, 6), ("a", 2, 5), ("a", 9, 12), ("b", 4, 40), ("c", 0, 14), ("other", 0, 1)]
+    manifest = spark.createDataFrame([(high, run, low) for run, low, high in rows], search.MANIFEST)
+    ids = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "run_id string")
+    assert sorted(map(tuple, search.gaps(manifest, ids, 14).collect())) == [("a", 6, 9), ("a", 12, 14), ("b", 0, 4), ("d", 0, 14)]
+
+
+@pytest.mark.parametrize("sizes", [(3, 6), (6, 3), (5, 4), (4, 100)])
+def test_a_run_goes_on_with_other_chunks(spark, tmp_path, sizes):
+    """No run is completed with a gap, and none is evaluated twice, whatever chunks it was stopped with."""
+    path, bars = str(tmp_path), spark.createDataFrame(pd.concat([made_bars(3, 200, "A"), made_bars(4, 200, "B")]), SCHEMA)
+    config = replace(SMALL, categories=("volume",), max_combo_size=1)
+    total = search.count(config)
+    search.run_search(spark, bars, config, path, chunk=sizes[0], most_chunks=2)
+    half = {r["completed_combos"] for r in search.runs(spark, path).collect()}
+    assert half == {min(2 * sizes[0], total)}
+    search.run_search(spark, bars.where("symbol = 'A'"), config, path, chunk=sizes[1], most_chunks=1)
+    search.run_search(spark, bars, config, path, chunk=sizes[1])
+    assert {(r["status"], r["completed_combos"]) for r in search.runs(spark, path).collect()} == {("completed", total)}
+    raw = search._read(spark, f"{path}/results", f"{search.RESULTS}, run_id string, low long")
+    assert raw.count() == raw.select("run_id", "ordinal").distinct().count() == 2 * total
