@@ -149,6 +149,29 @@ indicator("force_index", ta.force_index, q.force(_t()), ("force_index",))
 indicator("ease_of_movement", ta.ease_of_movement, q.ease(_t()), ("ease_of_movement",), digits=2)
 
 
+# recurrences again, with the bars of all series cut into ranges of time
+
+PARTS = 24
+_recurrent = (
+    ("ema_20", ta.ema, ("ema",)), ("macd", ta.macd, ("line", "signal", "hist")), ("atr_14", ta.atr, ("atr",)), ("adx_14", ta.adx, ("adx", "plus", "minus")), ("rsi_14", ta.rsi, ("rsi",)), ("tsi", ta.tsi, ("tsi",)),
+    ("keltner", ta.keltner, ("mid", "upper", "lower")), ("force_index", ta.force_index, ("force_index",)), ("parabolic_sar", ta.parabolic_sar, ("sar",)), ("supertrend", ta.supertrend, ("line", "way")),
+)
+
+
+def in_parts(make, columns: tuple[str, ...]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = Sheet()
+        made = make(s)
+        made = made if isinstance(made, tuple) else (made,)
+        return rounded(s.apply(by_type(spark, sf_dir), PARTS), ("symbol", "ts"), dict(zip(columns, made, strict=True)))
+
+    return query
+
+
+for _name, _make, _columns in _recurrent:
+    register(f"{_name}_in_parts", in_parts(_make, _columns), _sql[_name])
+
+
 # votes
 
 _first: dict[str, signals.Instance] = {}

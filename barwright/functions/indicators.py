@@ -245,9 +245,12 @@ def ease_of_movement(s: Sheet, n: int = 14) -> str:
     return sma(s, n, ease)
 
 
-def add(candles, *wanted):
-    """Candles with the columns of each (indicator, params): e.g. add(df, (sma, {"n": 10}), (macd, {}))."""
+def add(candles, *wanted, parts=None):
+    """Candles with the columns of each (indicator, params): e.g. add(df, (sma, {"n": 10}), (macd, {})).
+
+    parts: recurrences go through so many ranges of time, for series too long for a task.
+    """
     s = Sheet()
     for indicator, params in wanted:
         indicator(s, **params)
-    return s.apply(candles)
+    return s.apply(candles, parts)

@@ -34,8 +34,9 @@ class Sheet:
         self.wanted[tag] = (kind, *params)
         return tuple(f"{tag}_{part}" if part else tag for part in recurrences.PARTS[kind])
 
-    def apply(self, candles: DataFrame) -> DataFrame:
-        df = recurrences.add(candles, self.wanted) if self.wanted else candles
+    def apply(self, candles: DataFrame, parts: int | None = None) -> DataFrame:
+        """parts: recurrences go through so many ranges of time instead of a series at a time."""
+        df = recurrences.add(candles, self.wanted, parts) if self.wanted else candles
         for level in sorted(self.layers):
             df = df.select("*", *[c.alias(n) for n, c in self.layers[level].items()])
         return df

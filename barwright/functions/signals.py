@@ -242,17 +242,17 @@ def enumerate_instances(categories: Iterable[str] = CATEGORIES, dense: bool = Fa
     return out
 
 
-def with_votes(candles: DataFrame, instances: list[Instance], prefix: str = "v", adx: int | None = None) -> DataFrame:
+def with_votes(candles: DataFrame, instances: list[Instance], prefix: str = "v", adx: int | None = None, parts: int | None = None) -> DataFrame:
     """Candles with a column v0, v1, ... of votes for each instance, and adx over so many bars if asked for.
 
-    Indicators that several instances share are computed once.
+    Indicators that several instances share are computed once; recurrences in `parts` of time, if given.
     """
     s, votes = Sheet(), []
     strength = [F.col(ta.adx(s, adx)[0]).alias("adx")] if adx else []
     for i in instances:
         column, *needs = VOTES[i.factory](s, **dict(i.params))
         votes.append(s.make(f"_vote {i.key}", column, *needs))
-    return s.apply(candles).select(*candles.columns, *strength, *[F.col(f"`{v}`").alias(f"{prefix}{k}") for k, v in enumerate(votes)])
+    return s.apply(candles, parts).select(*candles.columns, *strength, *[F.col(f"`{v}`").alias(f"{prefix}{k}") for k, v in enumerate(votes)])
 
 
 def votes(candles: DataFrame, instances: list[Instance]) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Ordered windows per candle series, with undefined values as NULL."""
+"""Ordered windows per candle series, with undefined values as NULL, and tables kept for several jobs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A candle series: one symbol at one bar length.
@@ -57,3 +59,14 @@ def sign(x: Column) -> Column:
 def plain(x: Column) -> Column:
     """NaN as NULL."""
     return F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+
+
+def kept(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """A reliable checkpoint, in the folder of spark.checkpoint.dir, or if that is unset in `folder` or a local one (tests)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or folder
+        if shared is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="barwright-"))
+    return df.checkpoint()
