@@ -168,10 +168,9 @@ def test_tallies_of_stretches(seed):
 def test_search_in_parts_of_time(bars, monkeypatch):
     config = replace(SMALL, categories=("volume",), adx_filters=(None, 20.0))
     want = {r["ordinal"]: r for r in search.search_all(bars, config).collect()}
-    monkeypatch.setattr(search, "PART_VOTES", 400)
     for most in (search.MOST_BROADCAST, 0):
         monkeypatch.setattr(search, "MOST_BROADCAST", most)
-        packed = search.kept(search.prepare(bars, config))
+        packed = search.kept(search.prepare(bars, config, 400).repartition(3, F.rand(7)))  # parts in any order
         assert packed.count() > 10
         got = {r["ordinal"]: r for r in search.first_of_each(search.search(packed, config)).collect()}
         assert set(got) == set(want)
@@ -271,7 +270,7 @@ def test_manifest_is_a_set_of_intervals(spark):
     assert sorted(map(tuple, search.gaps(manifest, ids, 14).collect())) == [("a", 6, 9), ("a", 12, 14), ("b", 0, 4), ("d", 0, 14)]
 
 
-@pytest.mark.parametrize("sizes", [(3, 6), (6, 3), (5, 4), (4, 100)])
+@pytest.mark.parametrize("sizes", [(3, 6), (5, 4)])
 def test_a_run_goes_on_with_other_chunks(spark, tmp_path, sizes):
     """No run is completed with a gap, and none is evaluated twice, whatever chunks it was stopped with."""
     path, bars = str(tmp_path), spark.createDataFrame(pd.concat([made_bars(3, 200, "A"), made_bars(4, 200, "B")]), SCHEMA)
