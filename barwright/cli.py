@@ -105,14 +105,13 @@ def main(argv: list[str] | None = None) -> int:
                 print(name, "is missing")
         return 0
     if args.command == "ingest":
-        stored = _table(spark, f"{data}/candles", candles.SCHEMA)
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{data}/checkpoints")
-        table, summary = candles.ingest(stored, candles.read(spark, args.source, args.format), days=args.lookback_days)
-        candles.write(table.checkpoint(), f"{data}/candles")
+        rows, summary = candles.arrived(candles.read(spark, args.source, args.format), days=args.lookback_days)
+        candles.merge(f"{data}/candles", rows)
         summary.show(truncate=False)
         return 0
     if args.command == "optimize":
-        print(*search.run_search(spark, candles.load(spark.read.parquet(f"{data}/candles"), args.symbol), config, f"{data}/search", restart=args.restart, most_combos=args.max_combos), sep="\n")
+        print(*search.run_search(spark, candles.load(candles.table(spark, f"{data}/candles"), args.symbol), config, f"{data}/search", restart=args.restart, most_combos=args.max_combos), sep="\n")
         return 0
     if args.command == "live-run":
         again = args.auto if args.reselect_on_flat is None else args.reselect_on_flat
@@ -146,7 +145,7 @@ def main(argv: list[str] | None = None) -> int:
     if row is None:
         print("no live strategy", file=sys.stderr)
         return 1
-    bars = candles.load(spark.read.parquet(f"{data}/candles"), row["symbol"], row["interval"])
+    bars = candles.load(candles.table(spark, f"{data}/candles"), row["symbol"], row["interval"])
     decisions(search.spec_positions(recent(bars), search.Spec.from_json(row["spec_json"]))).show(truncate=False)
     return 0
 

@@ -72,42 +72,77 @@ def recent(candles: DataFrame, days: int | None = None) -> DataFrame:
     return candles if days is None else lookback(candles, max(days, LEAST_DAYS))
 
 
-def sleeves(decided: DataFrame, risk: Risk) -> DataFrame:
+def sleeves(decided: DataFrame, risk: Risk, *more: str) -> DataFrame:
     """Decisions with live_id as (symbol, live_id, name, label, signal, as_of, price, quantity): what each strategy asks for."""
     quantity = sleeve_quantity(F.col("target"), risk.order_qty, risk.allow_short, risk.kill_switch)
-    return decided.select("symbol", "live_id", "name", "label", F.col("side").alias("signal"), "as_of", "price", quantity.alias("quantity"))
+    return decided.select("symbol", *more, "live_id", "name", "label", F.col("side").alias("signal"), "as_of", "price", quantity.alias("quantity"))
 
 
-def reconciled(asked: DataFrame, before: DataFrame, risk: Risk, rule: str = "priority") -> DataFrame:
-    """One poll: (symbol, owner, net_target, target, risk, prev_position, delta, action, price, label, sleeves) of each symbol.
-
-    `asked` are sleeves(), `before` is (symbol, owner, position) after the poll before, with owner a live_id. By priority
-    the owner keeps the trade while its quantity is not 0, then the first strategy by id that fires takes it; by `net`
-    the quantities are added. price and label are the owner's, or without one the first sleeve's price.
-    """
-    if rule not in ("priority", "net"):
-        raise ValueError("the rule must be priority or net")
+def _gathered(asked: DataFrame, *keys: str) -> DataFrame:
+    """The sleeves of each poll in one row: those of a symbol's active strategies, a handful."""
     row = F.struct("live_id", "name", "label", "signal", "as_of", "price", "quantity")
-    rows = asked.groupBy("symbol").agg(F.array_sort(F.collect_list(row)).alias("sleeves"))  # the active strategies of a symbol: a handful
-    rows = rows.join(before.select("symbol", F.col("owner").alias("_owner"), F.col("position").alias("prev_position")), "symbol", "left").withColumn("prev_position", F.coalesce("prev_position", F.lit(0)))
-    firing = F.filter("sleeves", lambda s: s["quantity"] != 0)
-    held = F.get(F.filter(firing, lambda s: s["live_id"] == F.col("_owner")), F.lit(0))
-    chosen = F.coalesce(held, F.get(firing, F.lit(0))) if rule == "priority" else F.lit(None).cast("struct<live_id: bigint, name: string, label: string, signal: string, as_of: timestamp, price: double, quantity: int>")
+    return asked.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("sleeves"))
+
+
+def _held(sleeves: Column, owner: Column) -> Column:
+    return F.get(F.filter(sleeves, lambda s: s["live_id"] == owner), F.lit(0))
+
+
+def _judged(rows: DataFrame, risk: Risk, rule: str, before: Column) -> DataFrame:
+    """Polls from sleeves, the chosen one `c` and the owner before it; `before`: the position before, which may be a lag of `target`."""
     net = F.aggregate("sleeves", F.lit(0), lambda total, s: total + s["quantity"])
-    rows = rows.withColumn("c", chosen).withColumn("wanted", F.coalesce(F.col("c.quantity"), F.lit(0)) if rule == "priority" else net)
+    rows = rows.withColumn("wanted", F.coalesce(F.col("c.quantity"), F.lit(0)) if rule == "priority" else net)
     why = clamp_reason(F.col("wanted"), risk.max_position)
     if rule == "priority":
         took = F.when(F.col("c.live_id") == F.col("_owner"), "ok").otherwise(F.concat(F.col("c.name"), F.lit(" took the trade")))
         why = F.when(F.col("c").isNull(), "no strategy firing").when(why != "ok", why).otherwise(took)
-    rows = rows.withColumn("target", clamp(F.col("wanted"), risk.max_position)).withColumn("delta", (F.col("target") - F.col("prev_position")).cast("int"))
+    rows = rows.withColumn("target", clamp(F.col("wanted"), risk.max_position)).withColumn("prev_position", F.coalesce(before, F.lit(0)))
+    rows = rows.withColumn("delta", (F.col("target") - F.col("prev_position")).cast("int"))
     action = F.when(F.col("delta") > 0, "BUY").when(F.col("delta") < 0, "SELL").otherwise("HOLD")
     price = F.coalesce(F.col("c.price"), F.get("sleeves", F.lit(0))["price"])
     return rows.select(
-        "symbol", F.col("c.live_id").alias("owner"), (F.col("wanted") if rule == "net" else F.lit(None).cast("int")).alias("net_target"), "target", why.alias("risk"),
+        "symbol", *(["ts"] if "ts" in rows.columns else []), F.col("c.live_id").alias("owner"), (F.col("wanted") if rule == "net" else F.lit(None).cast("int")).alias("net_target"), "target", why.alias("risk"),
         "prev_position", "delta", action.alias("action"), price.alias("price"), F.coalesce("c.label", "c.name").alias("label"), "sleeves",
     )
 
 
+_SLEEVE = "struct<live_id: bigint, name: string, label: string, signal: string, as_of: timestamp, price: double, quantity: int>"
+
+
+def _known_rule(rule: str) -> None:
+    if rule not in ("priority", "net"):
+        raise ValueError("the rule must be priority or net")
+
+
+def reconciled(asked: DataFrame, before: DataFrame, risk: Risk, rule: str = "priority") -> DataFrame:
+    """One poll: (symbol, owner, net_target, target, risk, prev_position, delta, action, price, label, sleeves) of each symbol.
+
+    `asked` are sleeves(), `before` is (symbol, owner, position) after the poll before, with owner a live_id. By priority
+    the owner keeps the trade while its quantity is not 0, then the first strategy by id that fires takes it; by `net`
+    the quantities are added. price and label are the owner's, or without one the first sleeve's price.
+    """
+    _known_rule(rule)
+    rows = _gathered(asked, "symbol").join(before.select("symbol", F.col("owner").alias("_owner"), F.col("position").alias("_position")), "symbol", "left")
+    firing = F.filter("sleeves", lambda s: s["quantity"] != 0)
+    chosen = F.coalesce(_held(firing, F.col("_owner")), F.get(firing, F.lit(0))) if rule == "priority" else F.lit(None).cast(_SLEEVE)
+    return _judged(rows.withColumn("c", chosen), risk, rule, F.col("_position"))
+
+
+def reconciled_over_time(asked: DataFrame, before: DataFrame, risk: Risk, rule: str = "priority") -> DataFrame:
+    """Polls one after another, as reconciled() would make them: `asked` has a column ts more, `before` is the state before all of them."""
+    _known_rule(rule)
+    rows = _gathered(asked, "symbol", "ts").join(before.select("symbol", F.col("owner").alias("_first"), F.col("position").alias("_position")), "symbol", "left")
+    w = Window.partitionBy("symbol").orderBy("ts")
+    first = F.row_number().over(w) == 1
+    if rule == "priority":
+        firing = F.transform(F.filter("sleeves", lambda s: s["quantity"] != 0), lambda s: F.struct(s["live_id"].alias("live_id"), s["quantity"].alias("quantity")))
+        now = owners(rows.select("symbol", "ts", firing.alias("firing")), before).select("symbol", "ts", F.col("owner").alias("_now"))
+        rows = rows.join(now, ["symbol", "ts"]).withColumn("_owner", F.when(first, F.col("_first")).otherwise(F.lag("_now").over(w))).withColumn("c", _held(F.col("sleeves"), F.col("_now")))
+    else:
+        rows = rows.withColumn("c", F.lit(None).cast(_SLEEVE))
+    return _judged(rows, risk, rule, F.when(first, F.col("_position")).otherwise(F.lag("target").over(w)))
+
+
 def combine_net(polls: DataFrame, max_position: int) -> DataFrame:
     """Sum of the sleeves' quantities at each poll(ts, symbol, live_id, quantity), within the limit; no sleeve owns it."""
     net = polls.groupBy("symbol", "ts").agg(F.sum("quantity").cast("int").alias("net"))
@@ -121,17 +156,45 @@ def sticky_owner(owner: int | None, quantities: dict[int, int]) -> tuple[int | N
     return next(((i, q) for i, q in sorted(quantities.items()) if q), (None, 0))
 
 
-def combine_priority(polls: DataFrame, max_position: int) -> DataFrame:
-    """Owner and target of each poll: polls of a symbol are folded in order of time, with the owner as state."""
+#: Polls that are gone through one after another; longer runs are composed of such chunks.
+CHUNK = 256
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        owner, out = None, []
-        for ts, poll in pdf.sort_values(["ts", "live_id"]).groupby("ts", sort=True):
-            owner, quantity = sticky_owner(owner, dict(zip(poll["live_id"].tolist(), poll["quantity"].tolist(), strict=True)))
-            out.append((pdf["symbol"].iloc[0], ts, owner, max(-max_position, min(max_position, int(quantity)))))
-        return pd.DataFrame(out, columns=["symbol", "ts", "owner", "target"]).astype({"owner": "Int64"})
 
-    return polls.select("symbol", "ts", "live_id", "quantity").groupBy("symbol").applyInPandas(fold, "symbol string, ts timestamp, owner long, target int")
+def owners(polls: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(symbol, ts, owner, quantity) of polls(symbol, ts, firing), firing being the (live_id, quantity) with a quantity, by id.
+
+    A poll maps each owner to the next one: who fires stays, else the first that fires comes. A chunk of polls is such a
+    map too, known by where it leads those that fire in its first poll, and all others. A symbol's chunks are composed in
+    order of time, from the owner in before(symbol, owner); then each chunk is gone through from its own first owner.
+    """
+    step = lambda owner, firing: F.when(F.exists(firing, lambda f: f["live_id"] == owner), owner).otherwise(F.get(firing, F.lit(0))["live_id"])
+    after = lambda owner: F.aggregate("polls", owner, lambda o, p: step(o, p["firing"]))
+    nobody = F.lit(None).cast("long")
+    number = F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1
+    numbered = polls.select("symbol", "ts", "firing", (number / CHUNK).cast("long").alias("chunk"))
+    chunks = numbered.groupBy("symbol", "chunk").agg(F.array_sort(F.collect_list(F.struct("ts", "firing"))).alias("polls"))
+
+    ids = F.transform(F.get("polls", F.lit(0))["firing"], lambda f: f["live_id"])
+    maps = chunks.select("symbol", F.struct("chunk", ids.alias("ids"), F.transform(ids, after).alias("ends"), after(nobody).alias("other")).alias("map"))
+    maps = maps.groupBy("symbol").agg(F.array_sort(F.collect_list("map")).alias("maps"))  # a few numbers a chunk
+    maps = maps.withColumn("owner", nobody) if before is None else maps.join(before.select("symbol", F.col("owner").cast("long").alias("owner")), "symbol", "left")
+    leads = lambda o, m: F.when(F.array_contains(m["ids"], o), F.get(m["ends"], (F.array_position(m["ids"], o) - 1).cast("int"))).otherwise(m["other"])
+    begin = F.struct(F.col("owner"), F.array().cast("array<struct<chunk: bigint, owner: bigint>>").alias("starts"))
+    add = lambda x, m: F.struct(leads(x["owner"], m).alias("owner"), F.concat(x["starts"], F.array(F.struct(m["chunk"].alias("chunk"), x["owner"].alias("owner")))).alias("starts"))
+    starts = maps.select("symbol", F.explode(F.aggregate("maps", begin, add)["starts"]).alias("s")).select("symbol", "s.chunk", "s.owner")
+
+    seen = F.struct(F.col("owner"), F.array().cast("array<bigint>").alias("owners"))
+    note = lambda x, p: (lambda now: F.struct(now.alias("owner"), F.concat(x["owners"], F.array(now)).alias("owners")))(step(x["owner"], p["firing"]))
+    through = chunks.join(starts, ["symbol", "chunk"]).select("symbol", "polls", F.aggregate("polls", seen, note)["owners"].alias("owners"))
+    each = through.select("symbol", F.explode(F.arrays_zip("polls", "owners")).alias("x")).select("symbol", "x.polls.ts", F.col("x.owners").alias("owner"), "x.polls.firing")
+    return each.select("symbol", "ts", "owner", F.coalesce(_held(F.col("firing"), F.col("owner"))["quantity"], F.lit(0)).cast("int").alias("quantity"))
+
+
+def combine_priority(polls: DataFrame, max_position: int) -> DataFrame:
+    """Owner and target of each poll(ts, symbol, live_id, quantity)."""
+    fires = F.when(F.col("quantity") != 0, F.struct("live_id", "quantity"))
+    gathered = polls.groupBy("symbol", "ts").agg(F.array_sort(F.collect_list(fires)).alias("firing"))
+    return owners(gathered).select("symbol", "ts", "owner", clamp(F.col("quantity"), max_position).alias("target"))
 
 
 def orders(targets: DataFrame) -> DataFrame:

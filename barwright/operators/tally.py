@@ -62,6 +62,9 @@ class Tally:
             asset[1:] = close[1:] / close[:-1] - 1
             if self.bars:
                 asset[0] = close[0] / self.close - 1
+            self._add(n, close, asset, position)
+
+    def _add(self, n: int, close: np.ndarray, asset: np.ndarray, position: np.ndarray) -> None:
         busy = (self.decided != 0) | (self.held != 0) | position[:, :-1].any(1)
         idle, rows = np.flatnonzero(~busy), np.flatnonzero(busy)
         self.close, self.bars = close[-1], self.bars + n

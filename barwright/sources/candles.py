@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barwright.functions.windows import kept
+
 PRICES = ("open", "high", "low", "close")
 COLUMNS = ("symbol", "interval", "ts", *PRICES, "volume")
 SCHEMA = "symbol string, interval string, ts timestamp, open double, high double, low double, close double, volume double"
 CHECKPOINTS = "symbol string, interval string, last_ts timestamp, rows long, updated_at timestamp"
 KEY = ("symbol", "interval", "ts")
+#: Column that says which of several rows of a bar came last.
+ARRIVAL = "_arrival"
+#: A candle table's partitions: an upsert rewrites the months that it touches.
+PARTITIONS = ("symbol", "interval", "month")
 
 
 def bars(events: DataFrame, ts: Column, price: Column, volume: Column, symbol: Column, length: str = "1 hour", interval: str = "1h") -> DataFrame:
@@ -35,10 +42,14 @@ def order_bars(orders: DataFrame, symbol: Column | None = None) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
-    """Raw bars from Parquet, ORC, CSV or JSON; column names in lower case; all five values must be there."""
+    """Raw bars from Parquet, ORC, CSV or JSON; column names in lower case; all five values must be there.
+
+    ARRIVAL orders the rows: by time of the file, its name, and their places in it.
+    """
     reader = spark.read.format(format).options(**options)
     df = (reader.schema(SCHEMA) if format in ("csv", "json") else reader).load(path)
-    df = df.toDF(*[c.lower() for c in df.columns])
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    df = df.select(*[F.col(f"`{c}`").alias(c.lower()) for c in df.columns], place.alias(ARRIVAL))
     if missing := [c for c in (*PRICES, "volume") if c not in df.columns]:
         raise ValueError(f"no column {', '.join(missing)} in {path}")
     return df
@@ -67,16 +78,50 @@ def lookback(df: DataFrame, days: int = 720) -> DataFrame:
     return df.join(last, ["symbol", "interval"]).where(F.col("ts") >= F.col("_last") - F.make_interval(days=F.lit(days))).drop("_last")
 
 
-def upsert(stored: DataFrame, arriving: DataFrame) -> DataFrame:
-    """Stored bars with arriving ones added or put in their place; a missing volume is stored as 0."""
-    both = stored.select(*COLUMNS, F.lit(0).alias("_new")).unionByName(arriving.select(*COLUMNS, F.lit(1).alias("_new")))
+def in_order(df: DataFrame, sequence: str | None = None) -> DataFrame:
+    """With ARRIVAL: the column `sequence`; or if that is None what read() has put there, or else the order of the rows."""
+    if sequence is not None:
+        return df.withColumn(ARRIVAL, F.col(sequence))
+    return df if ARRIVAL in df.columns else df.withColumn(ARRIVAL, F.monotonically_increasing_id())
+
+
+def upsert(stored: DataFrame, arriving: DataFrame, sequence: str | None = None) -> DataFrame:
+    """Stored bars with arriving ones added or put in their place; a missing volume is stored as 0.
+
+    Of several arriving rows of a bar the last counts, see in_order().
+    """
+    last = keep_last(in_order(arriving, sequence), ARRIVAL)
+    both = stored.select(*COLUMNS, F.lit(0).alias("_new")).unionByName(last.select(*COLUMNS, F.lit(1).alias("_new")))
     newest = Window.partitionBy(*KEY).orderBy(F.desc("_new"))
     return both.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select(*COLUMNS[:-1], F.coalesce("volume", F.lit(0.0)).alias("volume"))
 
 
+def _by_month(df: DataFrame) -> DataFrame:
+    return df.withColumn("month", F.date_format("ts", "yyyyMM").cast("int"))
+
+
 def write(df: DataFrame, path: str) -> None:
-    """Replace the series in `df` in a table partitioned by symbol and interval, and leave others alone."""
-    df.repartition("symbol", "interval").sortWithinPartitions("ts").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("symbol", "interval").parquet(path)
+    """Replace the months of the series in `df` in a table partitioned by symbol, interval and month, and leave all else alone."""
+    rows = _by_month(df.select(*COLUMNS)).repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, "ts")
+    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A candle table; one that isn't there yet is empty."""
+    try:
+        return spark.read.schema(f"{SCHEMA}, month int").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{SCHEMA}, month int")
+
+
+def merge(path: str, arriving: DataFrame, sequence: str | None = None) -> None:
+    """upsert() into the table at `path`: only the months of the series that `arriving` has bars of are read and written."""
+    fresh = kept(in_order(arriving, sequence).select(*COLUMNS, ARRIVAL), f"{path}_checkpoints")
+    touched = _by_month(fresh).select(*PARTITIONS).distinct()
+    stored = table(arriving.sparkSession, path).join(F.broadcast(touched) if touched.count() < 10_000 else touched, list(PARTITIONS), "left_semi")
+    write(kept(upsert(stored, fresh)), path)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -84,14 +129,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.groupBy("symbol", "interval").agg(F.max("ts").alias("last_ts"), F.count("*").alias("rows")).withColumn("updated_at", F.current_timestamp())
 
 
-def ingest(stored: DataFrame | None, arriving: DataFrame, sequence: str | None = None, days: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The table after an ingestion, and its summary (symbol, interval, rows, start, end) of the arriving bars."""
-    rows = in_utc(arriving)
-    rows = complete(keep_last(rows, sequence) if sequence else rows.dropDuplicates(list(KEY)))
+def arrived(raw: DataFrame, sequence: str | None = None, days: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Raw bars as they go into a table, one row each, the last of several (see in_order()); and their summary (symbol, interval, rows, start, end)."""
+    rows = complete(keep_last(in_order(in_utc(raw), sequence), ARRIVAL))
     rows = (lookback(rows, days) if days else rows).select(*COLUMNS)
-    summary = rows.groupBy("symbol", "interval").agg(F.count("*").alias("rows"), F.min("ts").alias("start"), F.max("ts").alias("end"))
-    empty = rows.limit(0) if stored is None else stored
-    return upsert(empty, rows), summary
+    return rows, rows.groupBy("symbol", "interval").agg(F.count("*").alias("rows"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+
+
+def ingest(stored: DataFrame | None, arriving: DataFrame, sequence: str | None = None, days: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The table after an ingestion, and its summary of the arriving bars; see arrived()."""
+    rows, summary = arrived(arriving, sequence, days)
+    return upsert(rows.limit(0) if stored is None else stored, rows), summary
 
 
 def load(table: DataFrame, symbol: str | None = None, interval: str | None = None) -> DataFrame:

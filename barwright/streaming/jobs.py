@@ -31,22 +31,7 @@ def upsert_into(path: str):
     """A foreachBatch sink that puts each batch's bars into a candle table; a batch that is run again changes nothing."""
 
     def sink(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{path}_checkpoints")
-        fresh = batch.persist()
-        try:
-            # The series of the batch, old and new bars; written beside the table's other series.
-            keys = fresh.select("symbol", "interval").distinct()
-            try:
-                stored = spark.read.schema(candles.SCHEMA).parquet(path).join(F.broadcast(keys) if keys.count() < 10_000 else keys, ["symbol", "interval"], "left_semi").select(*candles.COLUMNS)
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                stored = fresh.limit(0)
-            candles.write(candles.upsert(stored, fresh).checkpoint(), path)
-        finally:
-            fresh.unpersist()
+        candles.merge(path, batch)
 
     return sink
 

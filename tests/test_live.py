@@ -1,7 +1,10 @@
 """Market hours, risk, combination, ledger, candles and streaming."""
 
+import glob
+import os
 from datetime import UTC, datetime
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +208,115 @@ def test_command_line(spark, market, capsys):
     assert run("auto-select", "--top", "2", "--min-trades", "1", "--min-oos-trades", "1")[0] == 0
     assert run("live-run", "--once")[0] == 0 and trading.Session(spark, path).polls().count() == 1
     assert run("status")[0] == 0 and run("ledger")[0] == 0 and run("live-signal")[0] == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 256])
+def test_owners_by_composed_chunks(spark, monkeypatch, chunk):
+    """Owners of many polls, some symbols with one before, against the fold of one poll after another."""
+    monkeypatch.setattr(live, "CHUNK", chunk)
+    rng, rows, start = np.random.default_rng(chunk), [], {"A": 2, "B": None, "C": 99}
+    for symbol in "ABCD":
+        for k in range(60 if symbol != "D" else 1):
+            for sleeve in range(1, 5):
+                rows.append((symbol, k, sleeve, int(rng.choice([0, 0, 0, 5, -7]))))
+    df = spark.createDataFrame(rows, "symbol string, k int, live_id long, quantity int").withColumn("ts", F.timestamp_seconds(F.col("k") * 900)).repartition(3)
+    firing = df.groupBy("symbol", "ts").agg(F.array_sort(F.collect_list(F.when(F.col("quantity") != 0, F.struct("live_id", "quantity")))).alias("firing"))
+    before = spark.createDataFrame(list(start.items()), "symbol string, owner long")
+    for state, first in ((None, {}), (before, start)):
+        want = []
+        for symbol in "ABCD":
+            owner = first.get(symbol)
+            for k in range(60 if symbol != "D" else 1):
+                owner, quantity = live.sticky_owner(owner, {i: q for s, h, i, q in rows if (s, h) == (symbol, k)})
+                want.append((symbol, k, owner, quantity))
+        got = live.owners(firing, state).select("symbol", (F.unix_seconds("ts") / 900).cast("int"), "owner", "quantity")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def comparable(polls):
+    columns = ("symbol", "ts", "owner", "net_target", "target", "risk", "prev_position", "delta", "action", "price", "label")
+    return sorted((tuple(r[c] for c in columns) + tuple((x["live_id"], x["quantity"], x["signal"]) for x in r["sleeves"]) for r in polls.collect()), key=str)
+
+
+@pytest.mark.parametrize("rule", ["priority", "net"])
+def test_a_stream_of_bars_across_restarts(spark, market, tmp_path_factory, rule):
+    """Micro-batches, each by a query and a session started anew, give the polls of one batch, and those of single polls."""
+    path, bars = market
+    old, folder, risk = bars.where("ts < '2023-03-14'"), tmp_path_factory.mktemp(rule), live.Risk(order_qty=7, max_position=10)
+    new = bars.where("ts >= '2023-03-14'").checkpoint()
+    session = trading.Session(spark, path, risk, rule=rule, strategies=3, criteria=selection.Criteria(min_trades=1, min_oos_trades=1))
+    assert session.reselect()
+    (symbol,) = {r["symbol"] for r in selection.active(session.live()).collect()}
+    data = str(folder / "data")
+    candles.write(old, f"{data}/candles")
+    session.live().write.parquet(f"{data}/live")
+    edges = ["2023-03-14", "2023-03-14 09:00:00", "2023-03-15 20:00:00", "2024-01-01"]
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        new.where(f"ts >= '{lo}' AND ts < '{hi}'").coalesce(1).write.mode("append").parquet(str(folder / "in" / f"b={k}"))
+        stream = jobs.stream_of(spark, str(folder / "in"), f"{candles.SCHEMA}, b int").drop("b")
+        trading.Session(spark, data, risk, rule=rule).follow(stream, once=True, market_hours_only=False).awaitTermination()
+    got = trading.Session(spark, data, risk, rule=rule).polls()
+    none = spark.createDataFrame([], "symbol string, owner long, position int")
+    whole = trading.decide_over_time(bars, selection.active(session.live()), new, none, risk, rule)
+    assert comparable(got) == comparable(whole) and got.count() == new.where(f"symbol = '{symbol}'").count() > 100
+    assert len({r["owner"] for r in got.collect()}) > 1 or rule == "net"
+    for at in ("2023-03-14 08:00:00", "2023-03-17 03:00:00"):
+        before = trading.state_of(got.where(f"ts < '{at}'"))
+        one = trading.decide_once(bars.where(f"ts <= '{at}'"), selection.active(session.live()), before, risk, rule, at=datetime.fromisoformat(f"{at}+00:00"))
+        assert comparable(one) == comparable(got.where(f"ts = '{at}'"))
+    assert candles.table(spark, f"{data}/candles").count() == bars.count()
+    late = trading.Session(spark, data, risk, rule=rule)
+    last = got.select(F.max("batch")).first()[0]
+    late.bars_arrived(new.where("ts >= '2023-03-15 20:00:00'"), last, False)  # the last batch once more, as after a failure
+    assert comparable(late.polls()) == comparable(whole)
+    late.bars_arrived(new.where("ts < '2023-03-15'"), last + 1, False)  # bars that are late
+    assert comparable(late.polls()) == comparable(whole)
+
+
+def test_a_stream_selects_anew_each_day(spark, market):
+    path, bars = market
+    session = trading.Session(spark, path, live.Risk(), auto=True, reselect_on_flat=True, strategies=2, criteria=selection.Criteria(min_trades=1, min_oos_trades=1))
+    some = bars.where("ts >= '2023-03-16 20:00:00' AND ts < '2023-03-17 03:00:00'")
+    session.bars_arrived(some, 0, False)
+    first = comparable(session.polls())
+    chosen = session.live().count()
+    again = trading.Session(spark, path, live.Risk(), auto=True, reselect_on_flat=True, strategies=2, criteria=selection.Criteria(min_trades=1, min_oos_trades=1))
+    again.bars_arrived(some, 0, False)
+    assert comparable(again.polls()) == first and len(first) == 7 and again.live().count() == chosen == 2
+    none = trading.Session(spark, path, live.Risk(), auto=True, criteria=selection.Criteria(min_trades=10**6))
+    none.bars_arrived(bars.where("ts >= '2023-03-18' AND ts < '2023-03-18 02:00:00'"), 1, False)
+    assert comparable(again.polls()) == first  # no strategy qualifies
+
+
+def test_the_last_row_of_a_bar_counts_on_every_way_in(spark, bars, tmp_path, capsys):
+    data, rows = str(tmp_path / "d"), bars.limit(40).toPandas()
+    twice = pd.concat([rows.assign(close=1.0), rows.assign(close=2.0), rows.assign(close=3.0)])
+    twice.to_csv(tmp_path / "a.csv", index=False)
+    assert cli.main(["--data", data, "ingest", str(tmp_path / "a.csv"), "--format", "csv"]) == 0
+    got = candles.table(spark, f"{data}/candles")
+    assert got.count() == 40 and {r["close"] for r in got.collect()} == {3.0}
+    (tmp_path / "more").mkdir()
+    for k, close in enumerate((9.0, 5.0)):  # of two files the newer one, whatever their names
+        at = tmp_path / "more" / f"{'za'[k]}.csv"
+        rows.assign(close=close).to_csv(at, index=False)
+        os.utime(at, (1_700_000_000 + k, 1_700_000_000 + k))
+    assert cli.main(["--data", data, "ingest", str(tmp_path / "more"), "--format", "csv"]) == 0
+    assert {r["close"] for r in candles.table(spark, f"{data}/candles").collect()} == {5.0}
+    arriving = spark.createDataFrame(twice, candles.SCHEMA)
+    assert {r["close"] for r in candles.upsert(bars.limit(0), arriving).collect()} == {3.0}
+    assert {r["close"] for r in candles.upsert(bars, arriving.withColumn("seq", -F.col("close")), "seq").join(bars.limit(40).select("ts"), "ts").collect()} == {1.0}
+    capsys.readouterr()
+
+
+def test_an_upsert_writes_the_months_it_touches(spark, tmp_path):
+    path = str(tmp_path / "t")
+    days = spark.range(3650).select(F.lit("X").alias("symbol"), F.lit("1d").alias("interval"), F.timestamp_seconds(F.col("id") * 86400).alias("ts"), *[F.lit(1.0).alias(c) for c in (*candles.PRICES, "volume")])
+    candles.write(days, path)
+    files = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/**/*.parquet", recursive=True)}
+    before = files()
+    assert len(before) == 120
+    candles.merge(path, days.where("ts = '1975-05-05'").withColumn("close", F.lit(7.0)))
+    after = files()
+    assert {f for f in before if after.get(f) != before[f]} == {f for f in before if "month=197505" in f} and len(after) == 120
+    got = candles.table(spark, path)
+    assert got.count() == 3650 and [str(r["ts"])[:10] for r in got.where("close = 7").collect()] == ["1975-05-05"]
