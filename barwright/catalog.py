@@ -14,7 +14,7 @@ from barwright.functions.sheet import Sheet
 from barwright.functions.signals import instance
 from barwright.operators import backtest as bt
 from barwright.operators import combine, live, report
-from barwright.plans import search, selection
+from barwright.plans import search, selection, trading
 from barwright.sources import candles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -431,6 +431,31 @@ register(
 )
 
 
+def live_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three live strategies on each series, polled at every bar: owner, target and order of each poll."""
+    bars = by_type(spark, sf_dir)
+    specs = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("live_id"), F.lit(f"s{k + 1}").alias("name"), F.lit(search.Spec((i,), "long_short").to_json()).alias("spec_json")) for k, i in enumerate(_three)]))
+    strategies = bars.select("symbol", "interval").distinct().select("symbol", "interval", specs.alias("s")).select("symbol", "interval", "s.*")
+    none = spark.createDataFrame([], "symbol string, owner long, position int")
+    polled = trading.decide_over_time(bars, strategies, bars, none, live.Risk(order_qty=10, max_position=8))
+    return polled.select("symbol", "ts", "owner", "target", "risk", "prev_position", "delta", "action", (F.round("price", 6) + F.lit(0.0)).alias("price"))
+
+
+_owner_was = "lag(owner) OVER (PARTITION BY symbol ORDER BY ts)"
+register(
+    "live_polls",
+    live_polls,
+    _polls()
+    .with_("ow(symbol, rn, owner)", f"SELECT symbol, rn, {_starts} FROM pl s WHERE rn = 1 UNION ALL SELECT s.symbol, s.rn, {_keeps} FROM ow r JOIN pl s ON s.symbol = r.symbol AND s.rn = r.rn + 1")
+    .with_("lp", "SELECT pl.*, owner, CAST(8 * sign(CASE owner WHEN 1 THEN q1 WHEN 2 THEN q2 WHEN 3 THEN q3 ELSE 0 END) AS INTEGER) AS target FROM pl JOIN ow ON pl.symbol = ow.symbol AND pl.rn = ow.rn")
+    .with_("lq", f"SELECT *, lag(target, 1, 0) OVER (PARTITION BY symbol ORDER BY ts) AS prev_position, {_owner_was} AS was FROM lp")
+    .sql(
+        "SELECT symbol, ts, CAST(owner AS BIGINT) AS owner, target, CASE WHEN owner IS NULL THEN 'no strategy firing' ELSE 'capped' END AS risk, prev_position, target - prev_position AS delta, "
+        "CASE WHEN target > prev_position THEN 'BUY' WHEN target < prev_position THEN 'SELL' ELSE 'HOLD' END AS action, round(close, 6) + 0.0 AS price FROM lq"
+    ),
+)
+
+
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polls(spark, sf_dir).groupBy("symbol", "ts").agg(live.clamp(F.sum("quantity"), 25).alias("target"), F.first("close").alias("price"))
 

@@ -49,15 +49,15 @@ def decide_over_time(bars: DataFrame, strategies: DataFrame, wanted: DataFrame,
 
     Indicators look at earlier bars alone, so a strategy's position on a bar is what a poll right after it would have got.
     """
-    rows, parts = strategies.orderBy("live_id").collect(), []  # the active strategies: a handful
-    for r in rows:
-        spec = search.Spec.from_json(r["spec_json"])
-        own = bars.where((F.col("symbol") == r["symbol"]) & (F.col("interval") == r["interval"]))
+    specs, parts = [r[0] for r in strategies.select("spec_json").distinct().orderBy("spec_json").collect()], []  # of the active strategies: a handful
+    for text in specs:
+        spec = search.Spec.from_json(text)
+        own = F.broadcast(strategies.where(F.col("spec_json") == text).select("symbol", "interval", F.col("live_id").cast("long").alias("live_id"), "name"))
         label = live.spec_label(F.array(*[F.lit(i.key) for i in spec.instances]), F.lit(spec.mode), F.lit(spec.combine))
-        at = search.spec_positions(own, spec).join(wanted.select("symbol", "interval", "ts"), ["symbol", "interval", "ts"], "left_semi")
+        series = bars.join(own.select("symbol", "interval").distinct(), ["symbol", "interval"], "left_semi")
+        at = search.spec_positions(series, spec).join(wanted.select("symbol", "interval", "ts"), ["symbol", "interval", "ts"], "left_semi").join(own, ["symbol", "interval"])
         position = F.col("position").cast("int")
-        decided = at.select("symbol", "ts", F.col("ts").alias("as_of"), position.alias("target"), live.label(position).alias("side"), F.col("close").alias("price"))
-        parts.append(decided.withColumns({"live_id": F.lit(r["live_id"]).cast("long"), "name": F.lit(r["name"]), "label": label}))
+        parts.append(at.select("symbol", "ts", F.col("ts").alias("as_of"), position.alias("target"), live.label(position).alias("side"), F.col("close").alias("price"), "live_id", "name", label.alias("label")))
     if not parts:
         raise ValueError("no live strategy")
     asked = live.sleeves(reduce(DataFrame.unionByName, parts), risk, "ts")
