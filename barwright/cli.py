@@ -11,6 +11,7 @@ from barwright.operators import report
 from barwright.operators.live import decisions, ledger_lines, recent
 from barwright.plans import search, selection, trading
 from barwright.sources import candles
+from barwright.streaming.jobs import stream_of
 
 
 def _session() -> SparkSession:
@@ -36,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--data", default="barwright-data", help="folder of all tables")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("check", help="which tables are there")
+    sub.add_parser("init", help="make the tables that are not there")
     a = sub.add_parser("ingest", help="put bars from files into the candle table")
     a.add_argument("source")
     a.add_argument("--format", default="parquet")
@@ -49,6 +51,8 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--max-combos", type=int)
     a.add_argument("--rate", type=float, default=RATE, help="strategies a second, for the estimate")
     a.add_argument("--symbol")
+    a.add_argument("--name", help="label of the run; default unless it has one")
+    a.add_argument("--workers", type=int, help="tasks that hold a job's specifications; four a core unless given")
     sub.add_parser("status", help="runs and how far they are")
     for name in ("report", "auto-select", "live-run"):
         a = sub.add_parser(name)
@@ -64,6 +68,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--poll-seconds", type=float, default=900)
     a.add_argument("--once", action="store_true")
     a.add_argument("--ignore-market-hours", action="store_true")
+    a.add_argument("--follow", metavar="FOLDER", help="poll each bar of Parquet files that arrive there, as a streaming query")
     a.add_argument("--reselect-on-flat", action=argparse.BooleanOptionalAction)
     a.add_argument("--lookback-days", type=int)
     a = sub.add_parser("promote", help="make one result the live strategy")
@@ -104,6 +109,10 @@ def main(argv: list[str] | None = None) -> int:
                     raise
                 print(name, "is missing")
         return 0
+    if args.command == "init":
+        for name, schema, by in (("candles", f"{candles.SCHEMA}, month int", candles.PARTITIONS), ("live", selection.LIVE, ()), ("polls", f"{trading.POLLS}, day date, batch long", ("day", "batch"))):
+            spark.createDataFrame([], schema).write.mode("append").partitionBy(*by).parquet(f"{data}/{name}")
+        return 0
     if args.command == "ingest":
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{data}/checkpoints")
         rows, summary = candles.arrived(candles.read(spark, args.source, args.format), days=args.lookback_days)
@@ -111,19 +120,23 @@ def main(argv: list[str] | None = None) -> int:
         summary.show(truncate=False)
         return 0
     if args.command == "optimize":
-        print(*search.run_search(spark, candles.load(candles.table(spark, f"{data}/candles"), args.symbol), config, f"{data}/search", restart=args.restart, most_combos=args.max_combos), sep="\n")
+        print(*search.run_search(spark, candles.load(candles.table(spark, f"{data}/candles"), args.symbol), config, f"{data}/search", restart=args.restart, most_combos=args.max_combos, name=args.name, tasks=args.workers), sep="\n")
         return 0
     if args.command == "live-run":
         again = args.auto if args.reselect_on_flat is None else args.reselect_on_flat
         session = trading.Session(spark, data, rule=args.combine, days=args.lookback_days, auto=args.auto, criteria=criteria_of(args), strategies=args.top, reselect_on_flat=again)
-        session.run(args.poll_seconds, args.once, not args.ignore_market_hours)
+        if args.follow:
+            query = session.follow(stream_of(spark, args.follow, candles.SCHEMA), args.once, not args.ignore_market_hours)
+            query.awaitTermination()
+        else:
+            session.run(args.poll_seconds, args.once, not args.ignore_market_hours)
         return 0
     if args.command == "ledger":
         print(*(r["line"] for r in ledger_lines(trading.ledger(trading.Session(spark, data).polls())).orderBy("ts", "symbol", "place").collect()), sep="\n")
         return 0
     results, runs = search.results(spark, f"{data}/search"), search.runs(spark, f"{data}/search")
     if args.command == "status":
-        report.list_runs(report.run_status(runs, results)).select("id", "symbol", "interval", "status", "completed_combos", "total_combos", "completed", "pct", "started_at", "finished_at").show(truncate=False)
+        report.list_runs(report.run_status(runs, results)).select("id", "name", "symbol", "interval", "status", "completed_combos", "total_combos", "completed", "pct", "started_at", "finished_at").show(truncate=False)
         return 0
     if args.command == "report":
         rows = report.of_run(results, runs, args.run_id)

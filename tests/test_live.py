@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barwright import cli
+from barwright.functions import signals
 from barwright.operators import live, report
 from barwright.plans import search, selection, trading
 from barwright.sources import candles
@@ -208,6 +209,20 @@ def test_command_line(spark, market, capsys):
     assert run("auto-select", "--top", "2", "--min-trades", "1", "--min-oos-trades", "1")[0] == 0
     assert run("live-run", "--once")[0] == 0 and trading.Session(spark, path).polls().count() == 1
     assert run("status")[0] == 0 and run("ledger")[0] == 0 and run("live-signal")[0] == 0
+    assert run("optimize", "--sparse", "--max-combo-size", "1", "--max-combos", "6", "--name", "few", "--workers", "3", "--symbol", "A")[0] == 0
+    assert "few" in run("status")[1] and {r["name"] for r in search.runs(spark, f"{path}/search").collect()} == {"default", "few"}
+
+
+def test_command_line_follows_a_folder(spark, bars, tmp_path, capsys):
+    data = str(tmp_path / "d")
+    assert cli.main(["--data", data, "init"]) == 0 and cli.main(["--data", data, "init"]) == 0
+    assert candles.table(spark, f"{data}/candles").count() == trading.Session(spark, data).polls().count() == 0
+    spec = search.Spec((signals.instance("sma_cross", fast=5, slow=20),), "long_short").to_json()
+    spark.createDataFrame([(1, 1, "one", "X", "1h", spec, "active")], selection.LIVE).write.mode("overwrite").parquet(f"{data}/live")
+    bars.limit(50).coalesce(1).write.parquet(str(tmp_path / "in"))
+    assert cli.main(["--data", data, "live-run", "--follow", str(tmp_path / "in"), "--once", "--ignore-market-hours"]) == 0
+    assert trading.Session(spark, data).polls().count() == candles.table(spark, f"{data}/candles").count() == 50
+    assert cli.main(["--data", data, "ledger"]) == 0 and "OPEN" in capsys.readouterr().out
 
 
 @pytest.mark.parametrize("chunk", [1, 7, 256])
