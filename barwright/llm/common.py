@@ -38,6 +38,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers that are worth a task.
+ROWS_A_TASK = 200_000
+
+
+def packed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Kept, in as few partitions as its rows (or at most so many) ask for: a shuffle writes files for each of them, however small."""
+    df = keep(df)
+    return df.coalesce(max(1, -(-(df.count() if rows is None else rows) // ROWS_A_TASK)))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write to Parquet in the shared folder and read it back: for wide tables that several jobs read."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -85,10 +95,11 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen = mark
+        star = star.coalesce(max(1, -(-mark[0] // ROWS_A_TASK)))
         sides = both(star)
         least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d")
         large = join_by_key(sides, least, "u", "d", 2 * mark[0]).where("v > u")
-        large = keep(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = packed(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), 2 * mark[0])
         below = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
         joined = join_by_key(large, below, "u", "d", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         star = keep(joined.unionByName(below.select("u", F.col("m").alias("v"))).distinct())

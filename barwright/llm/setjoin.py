@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import components, join_by_key, keep, small, small_batches, stash
+from barwright.llm.common import components, join_by_key, keep, packed, small, small_batches, stash
 from barwright.llm.tokens import SMALL_SLICE, slices
 
 SEED = 42
@@ -341,12 +341,12 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, si
 
     def similar(p: DataFrame) -> DataFrame:
         """The pairs that are similar: those that their bitmaps allow are decided by the sets of their texts."""
-        p = keep(_with_sides(p, rows.select("fp", "n", "parity", "wide")).select("a", "b", "n_a", "n_b", "parity_a", "parity_b", "wide_a", "wide_b").mapInArrow(_possible(similarity), "a long, b long"))
-        wanted = keep(p.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+        p = packed(_with_sides(p, rows.select("fp", "n", "parity", "wide")).select("a", "b", "n_a", "n_b", "parity_a", "parity_b", "wide_a", "wide_b").mapInArrow(_possible(similarity), "a long, b long"))
+        wanted = packed(p.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
         ids = small(wanted.join(rows.select("fp", "low"), "fp").select("low").distinct(), 500_000)
         own = texts.join(ids, texts["id"].eqNullSafe(ids["low"]), "left_semi").select("text").mapInArrow(owned, "fp long, own binary")
         sets = stash(own.join(small(wanted, 500_000), "fp", "left_semi"), "shingles").dropDuplicates(["fp"])
-        return keep(_with_sides(p, sets).select("a", "b", "own_a", "own_b").mapInArrow(_similar(similarity), "a long, b long"))
+        return packed(_with_sides(p, sets).select("a", "b", "own_a", "own_b").mapInArrow(_similar(similarity), "a long, b long"))
 
     edges = None
     for how in ("leaders", "nearest", "all"):
@@ -356,7 +356,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, si
         if how != "leaders":
             labelled = keep(labelled)
         mixed = labelled.groupBy("k").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        mixed = keep(mixed.where("lo <> hi").selectExpr("k", "size", f"cast(ceil(size / {TILE}) as int) as tiles"))
+        mixed = packed(mixed.where("lo <> hi").selectExpr("k", "size", f"cast(ceil(size / {TILE}) as int) as tiles"))
         if mixed.isEmpty():
             more = pairs if how == "leaders" else None
         else:
@@ -364,11 +364,11 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, si
             dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(fp), tiles) as int)")).withColumn("to", F.expr("explode(sequence(0, tiles - 1))"))
             tiles = dealt.select("k", F.least("own", "to").alias("x"), F.greatest("own", "to").alias("y"), "fp", "n", "room", "label", "parity")
             more = tiles.repartition("k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(_tiles(similarity, how), "a long, b long")
-            more = keep((more.unionByName(pairs) if how == "leaders" else more).distinct())
+            more = packed((more.unionByName(pairs) if how == "leaders" else more).distinct())
         if more is None or more.isEmpty():
             if how == "leaders":
                 continue
             break
         found = similar(more)
-        edges = found if edges is None else keep(edges.unionByName(found))
+        edges = found if edges is None else packed(edges.unionByName(found))
     return rows.select("fp", "low", "copies"), edges if edges is not None else pairs
