@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,14 @@ def set_fingerprint(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), SEED)
 
 
+def set_simhash(own: np.ndarray) -> int:
+    """64-bit SimHash of a shingle set: a bit is 1 if set in over half of the values; 0 for no values."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(own), 1 << 16):
+        ones += np.unpackbits(own[lo : lo + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big")
+
+
 def set_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(id, fp): a 64-bit hash of each row's shingle set."""
 
@@ -66,16 +74,16 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """(id, fp, n, prefix, late, parity, wide) of each row.
+    """(id, fp, bits, n, prefix, late, parity, wide) of each row.
 
-    fp and n are a 64-bit hash and the size of its shingle set, prefix the shingles it is indexed under, of which the
+    fp, bits and n are a 64-bit hash, the SimHash and the size of its shingle set, prefix the shingles it is indexed under, of which the
     last `late` are common ones, parity a bitmap of how often, modulo 2, its shingles fall on each of PARITY_BITS places,
     and wide one of more places for a set of more than PARITY_BITS / 2 shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SMALL_SLICE):
-            fps, sizes, prefixes, lates, parities, wides = [], [], [], [], [], []
+            fps, bits, sizes, prefixes, lates, parities, wides = [], [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 own = shingle_set(t, shingle)
                 n = len(own)
@@ -83,16 +91,17 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
                 first = n - int(np.ceil(similarity * n - _EPS)) + 1 if n else 0
                 rare = own[~is_late][:first]
                 fps.append(set_fingerprint(own))
+                bits.append(set_simhash(own))
                 sizes.append(n)
                 prefixes.append(np.concatenate((rare, own[is_late][: first - len(rare)])).tobytes())
                 lates.append(first - len(rare))
                 parities.append(parity(own, PARITY_BITS))
                 wides.append(parity(own, 1 << (2 * n).bit_length()) if 2 * n > PARITY_BITS else None)
-            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
-            yield pa.record_batch([b.column(0), fp, pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(lates, pa.int32()), pa.array(parities, pa.binary()), pa.array(wides, pa.binary())], names=["id", "fp", "n", "prefix", "late", "parity", "wide"])
+            fp, signs = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, bits))
+            yield pa.record_batch([b.column(0), fp, signs, pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(lates, pa.int32()), pa.array(parities, pa.binary()), pa.array(wides, pa.binary())], names=["id", "fp", "bits", "n", "prefix", "late", "parity", "wide"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, n int, prefix binary, late int, parity binary, wide binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, bits long, n int, prefix binary, late int, parity binary, wide binary")
 
 
 def parity(own: np.ndarray, bits: int) -> bytes:
@@ -193,7 +202,7 @@ def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _tile(t: dict[str, np.ndarray], similarity: float, how: str) -> np.ndarray:
     """Candidate pairs of one tile, rows of different labels that can be similar.
 
-    `leaders`: each row with one earlier row that is likely similar, if there is any; `nearest`: each row that is not of
+    `leaders`: each row with one earlier row that is likely similar, if there is any and it is of another label; `nearest`: each row that is not of
     the tile's most frequent label with the nearest row of another label; `all`: all such pairs.
     """
     fp, n, room, label, parity = (t[c] for c in ("fp", "n", "room", "label", "parity"))
@@ -205,7 +214,7 @@ def _tile(t: dict[str, np.ndarray], similarity: float, how: str) -> np.ndarray:
 
     if how == "leaders":
         order = np.argsort(n, kind="stable")
-        fp, n, room, parity = (x[order] for x in (fp, n, room, parity))
+        fp, n, room, label, parity = (x[order] for x in (fp, n, room, label, parity))
         end = np.searchsorted(n, n / similarity + _EPS, "right")
         # expected bits apart for so many shingles that only one set has, by the size of both sets
         bound = PARITY_BITS / 2 * -np.expm1(-2 * most * np.arange(2 * int(n[-1]) + 1) / PARITY_BITS)
@@ -216,6 +225,7 @@ def _tile(t: dict[str, np.ndarray], similarity: float, how: str) -> np.ndarray:
                 j = j[_enough(room[i], room[j], n[i], n[j], similarity)]
                 j = j[_apart(parity[i], parity[j]) <= bound[n[i] + n[j]]]
                 free[j] = False
+                j = j[label[j] != label[i]]
                 pairs(np.full(len(j), i), j)
         return np.concatenate(found)
     labels, number, size = np.unique(label, return_inverse=True, return_counts=True)
@@ -309,10 +319,22 @@ def _with_sides(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return pairs
 
 
-def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def _apart_in(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one of the groups (node, root)."""
+    groups = small(groups)
+    for side in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, near: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(fp, low, copies) of each distinct shingle set, low the smallest id that has it, and edges (a, b) between sets
     of Jaccard similarity `similarity` or more that keep every group linked.
 
+    SimHash comes first: near((fp, bits) of all sets) returns pairs (a, b) of sets with near fingerprints, and those that
+    are similar by the sets are the first edges. The join by prefixes adds the links that bits can't say: it pairs sets of
+    different groups alone.
+
     In one order of all shingles, two sets of n and m that are similar share one of their first n - ceil(similarity n) + 1
     and m - ceil(similarity m) + 1. Each set is indexed under these, common ones last; sets that meet under a shingle
     form a run. Two sets can be similar only if enough shingles stand from their first common one on and their parity
@@ -325,13 +347,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, si
     """
     common = common_shingles(small_batches(docs), text_col, shingle)
     every = described(docs, id_col, text_col, shingle, similarity, common)
-    first = [F.first(c).alias(c) for c in ("n", "prefix", "late", "parity", "wide")]
+    first = [F.first(c).alias(c) for c in ("bits", "n", "prefix", "late", "parity", "wide")]
     rows = stash(every.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("copies"), *first), "shingle-sets")
-    sets_of = rows.select("fp", "n", "prefix", "late")
-    met = sets_of.mapInArrow(_indexed(False), INDEX).repartition("k").sortWithinPartitions("k").mapInArrow(_runs(similarity), f"{INDEX}, other long")
-    met = stash(met, "shingle-runs")
-    pairs = met.where("k is null").select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
-    long = met.where("k is not null").drop("other").unionByName(sets_of.where("late > 0").mapInArrow(_indexed(True), INDEX))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,13 +365,21 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, si
         sets = stash(own.join(small(wanted, 500_000), "fp", "left_semi"), "shingles").dropDuplicates(["fp"])
         return packed(_with_sides(p, sets).select("a", "b", "own_a", "own_b").mapInArrow(_similar(similarity), "a long, b long"))
 
-    edges = None
+    near_pairs = packed(near(rows.select("fp", "bits")))
+    edges = None if near_pairs.isEmpty() else similar(near_pairs)
+    groups = None if edges is None else components(edges)
+    sets_of = rows.select("fp", "n", "prefix", "late")
+    met = sets_of.mapInArrow(_indexed(False), INDEX).repartition("k").sortWithinPartitions("k").mapInArrow(_runs(similarity), f"{INDEX}, other long")
+    met = stash(met, "shingle-runs")
+    pairs = met.where("k is null").select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
+    if groups is not None:
+        pairs = _apart_in(pairs, groups)
+    long = met.where("k is not null").drop("other").unionByName(sets_of.where("late > 0").mapInArrow(_indexed(True), INDEX))
     for how in ("leaders", "nearest", "all"):
         labelled = long.withColumn("label", F.col("fp"))
         if edges is not None:
-            labelled = long.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select(*long.columns, F.coalesce("root", "fp").alias("label"))
-        if how != "leaders":
-            labelled = keep(labelled)
+            groups = groups if how == "leaders" else components(edges)
+            labelled = keep(long.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(*long.columns, F.coalesce("root", "fp").alias("label")))
         mixed = labelled.groupBy("k").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         mixed = packed(mixed.where("lo <> hi").selectExpr("k", "size", f"cast(ceil(size / {TILE}) as int) as tiles"))
         if mixed.isEmpty():

@@ -165,6 +165,22 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     return edges.unionByName(masked.repartition("k", "p").sortWithinPartitions("k", "p", "fp").mapInArrow(_chain, "a long, b long"))
 
 
+def near_sets(sets: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Pairs (a, b), a < b, of sets (fp, bits) that keep all linked whose fingerprints `bits` are linked at `radius` or fewer bits.
+
+    Sets of one fingerprint are paired with the one of smallest fp, which stands for it in the links of fingerprints.
+    """
+    sets = keep(sets)
+    lead = keep(sets.groupBy("bits").agg(F.min("fp").alias("lead"), F.count("*").alias("n")))
+    same = join_by_key(sets, lead, "bits", "n").select(F.col("lead").alias("a"), F.col("fp").alias("b"))
+    other = keep(links(lead.select(F.col("bits").alias("fp")), radius, bucket))
+    for side in ("a", "b"):
+        named = keep(other.groupBy(side).agg(F.count("*").alias(f"n_{side}")).join(lead.select(F.col("bits").alias(side), F.col("lead").alias(f"lead_{side}")), side))
+        other = keep(join_by_key(other, named, side, f"n_{side}"))
+    pairs = same.unionByName(other.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
 def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, bucket: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(fp, root, component_id, copies) of each distinct fingerprint, and (id, fp) of each row (not for `similarity`)."""
     marked = None
@@ -173,7 +189,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: i
         owners = keep(marked.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("copies")))
         found = links(owners.select("fp"), radius, bucket)
     else:
-        owners, found = similar_groups(docs, id_col, text_col, shingle, similarity)
+        owners, found = similar_groups(docs, id_col, text_col, shingle, similarity, lambda sets: near_sets(sets, radius, bucket))
     roots = components(found).withColumnRenamed("node", "fp")
     grouped = keep(owners.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", "copies"))
     lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size"))
@@ -195,7 +211,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET, similarity: float | None = None) -> DataFrame:
     """The rows of `docs`, all columns, with one row of each near-duplicate group: the one with the smallest id.
 
-    Groups are those of near_groups, or with `similarity` those of setjoin.similar_groups: by shingle sets instead of bits.
+    Groups are those of near_groups. With `similarity` they are those of setjoin.similar_groups, by the Jaccard similarity of
+    shingle sets: SimHash links, of the sets' fingerprints, come first, the sets decide them, and a set join adds what the
+    bits can't say.
     Where several rows have that id, or none of the group's ids is set, the smallest row by all columns stays. Null and
     empty texts are one group; an empty table gives no rows. Texts are shuffled once, to meet the ids that stay or, where
     few go, not at all; fingerprints and links carry none.

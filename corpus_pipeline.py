@@ -23,7 +23,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: sets of five-word shingles at a similarity of 0.8 or more.
 
-    The smallest id of a group stays; all texts without words are one group.
+    SimHash makes the groups first: fingerprints of the sets at 2 or fewer differing bits, each link decided by the sets.
+    An exact join adds the links between these groups, as 64 bits can't say 0.8. The smallest id of a group stays; all texts without words are one group.
     """
     return simhash.keep_one(docs, shingle=5, similarity=0.8)
 

@@ -245,3 +245,55 @@ def test_long_texts(spark):
         texts += [" ".join(base), " ".join(near), " ".join(far)]
     want = brute_groups(texts)
     assert (found_groups(spark, texts) == want).all() and (want[0::3] == want[1::3]).all() and (want[0::3] != want[2::3]).any()
+
+
+def brute_set_simhash(text):
+    """SimHash of the distinct five-word shingles, each counted once."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    runs = [words[i : i + 5] for i in range(len(words) - 4)] if len(words) >= 5 else [words] * bool(words)
+    h = {xxhash.xxh64_intdigest(" ".join(r).encode(), seed=42) for r in runs}
+    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+
+
+def test_near_duplicates_come_from_simhash_links(spark, sf_dir, texts, monkeypatch):
+    """The pipeline's stage links the fingerprints of its sets by their bits, before any other link is looked for."""
+    import corpus_pipeline
+
+    seen, links = [], simhash.links
+
+    def spied(fps, *how):
+        seen.append(({r["fp"] % (1 << 64) for r in fps.collect()}, how))
+        return links(fps, *how)
+
+    monkeypatch.setattr(simhash, "links", spied)
+    corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).count()
+    assert seen == [({brute_set_simhash(t) for t in texts.values()}, (simhash.RADIUS, simhash.BUCKET))]
+
+
+def test_sets_of_near_fingerprints(spark):
+    """Sets that share a fingerprint, hundreds of them too, and sets a few bits apart are linked as brute force links them."""
+    rng = random.Random(11)
+    bits = [rng.getrandbits(64) for _ in range(300)] + [7] * 400
+    bits += [b ^ sum(1 << x for x in rng.sample(range(64), rng.choice([0, 1, 2, 3]))) for b in bits[:350]]
+    rows = list(enumerate(bits))
+    want = brute_components(rows)
+    df = spark.createDataFrame([(i, b - (1 << 64) if b >> 63 else b) for i, b in rows], "fp long, bits long")
+    found = simhash.near_sets(df).collect()
+    assert all(r["a"] < r["b"] and (want[r["a"]] == want[r["b"]]) for r in found)
+    root = {r["node"]: r["root"] for r in components(spark.createDataFrame(found, "a long, b long")).collect()}
+    assert [root.get(i, i) for i, _ in rows] == want
+
+
+@pytest.mark.parametrize("how", ["none", "chain", "right"])
+def test_sets_decide_links_of_bits(spark, how):
+    """Whatever pairs the bits give, false ones too, only similar sets are linked and all of them are."""
+    texts = families(4, 60, 100, [1, 2, 3]) + families(5, 20, 100, [0, 1]) + [f"own{i} of its kind alone {i} a{i}" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    low = {r["fp"]: r["id"] for r in setjoin.set_fingerprints(df, "doc_id", "text", 5).orderBy(F.desc("id")).collect()}
+    want, fps = brute_groups(texts), sorted(low)
+    pairs = {"none": [], "chain": list(zip(fps, fps[1:], strict=False)), "right": [(a, b) for a, b in combinations(fps, 2) if want[low[a]] == want[low[b]]]}[how]
+    of, edges = setjoin.similar_groups(df, "doc_id", "text", 5, 0.8, lambda sets: spark.createDataFrame(pairs, "a long, b long"))
+    assert {r["fp"]: r["low"] for r in of.collect()} == low
+    root = {r["node"]: r["root"] for r in components(edges).collect()}
+    got = {f: root.get(f, f) for f in fps}
+    assert all((got[a] == got[b]) == (want[low[a]] == want[low[b]]) for a, b in combinations(fps, 2))
